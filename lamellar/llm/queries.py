@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lamellar.llm.langid import op8_language_id
 from lamellar.llm.packing import op7_best_fit_pack
+from lamellar.llm.pii import op9_pii
 from lamellar.llm.quality import op4_quality_rules
 from lamellar.llm.quotes import op6_quotation_linking
 from lamellar.llm.sharding import op2_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_quotation_linking": op6_quotation_linking,
     "op7_best_fit_pack": op7_best_fit_pack,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
     "op10_token_files": op10_token_files,
 }
 
