@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lamellar.llm.decontamination import op3_decontaminate
 from lamellar.llm.langid import op8_language_id
 from lamellar.llm.packing import op7_best_fit_pack
 from lamellar.llm.pii import op9_pii
@@ -15,6 +16,7 @@ from lamellar.llm.urls import op5_url_filter
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
     "op6_quotation_linking": op6_quotation_linking,
