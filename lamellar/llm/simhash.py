@@ -75,33 +75,120 @@ def embedding(fp: Column) -> Column:
 
 
 def links(points: DataFrame, cell_limit: int = 32) -> DataFrame:
-    """points: distinct fingerprints fp. Rows (a, b) whose components are those of all pairs at two bits or fewer."""
+    """points: distinct (t, fp), t the number of the fingerprint's kind. Rows (t, a, b) that tie what pairs at two bits or fewer tie."""
     cells = points.withColumn("e", embedding(F.col("fp"))).select(
-        "fp", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(signed(m))) for m in CELLS))).alias("grid", "cell")
+        "t", "fp", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(signed(m))) for m in CELLS))).alias("grid", "cell")
     )
-    sizes = cells.groupBy("grid", "cell").count().where("count > 1")
-    shared = staged(cells.join(sizes, ["grid", "cell"]), "cells")
+    key = ["t", "grid", "cell"]
+    sizes = cells.groupBy(*key).count().where("count > 1")
+    shared = staged(cells.join(sizes, key), "cells")
     cold = shared.where(F.col("count") <= cell_limit)
-    a, b = (cold.select("grid", "cell", F.col("fp").alias(x), F.col("e").alias(f"e{x}")) for x in "ab")
-    pairs = a.join(b, ["grid", "cell"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) <= 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
-    hot = shared.where(F.col("count") > cell_limit).select("fp").distinct()
+    a, b = (cold.select(*key, F.col("fp").alias(x), F.col("e").alias(f"e{x}")) for x in "ab")
+    pairs = a.join(b, key).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) <= 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
+    hot = shared.where(F.col("count") > cell_limit).select("t", "fp").distinct()
     near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)))
-    met = hot.select("fp", F.explode(near).alias("point"))
-    centre = met.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("point", "b")
-    stars = met.join(centre, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return pairs.select("a", "b").union(stars)
+    met = hot.select("t", "fp", F.explode(near).alias("point"))
+    centre = met.groupBy("t", "point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "point", "b")
+    stars = met.join(centre, ["t", "point"]).where("fp <> b").select("t", F.col("fp").alias("a"), "b")
+    return pairs.select("t", "a", "b").union(stars)
 
 
 def near_duplicates(fps: DataFrame, cell_limit: int = 32) -> DataFrame:
     """fps (staged: doc_id, fp) with component_id, the smallest doc_id that links of two bits or fewer reach."""
     points = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    roots = staged(components(links(points.select("fp"), cell_limit), "links"), "roots")
+    roots = staged(components(links(points.select(F.lit(0).alias("t"), "fp"), cell_limit).select("a", "b"), "links"), "roots")
     tied = points.join(roots, points.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     of = staged(tied.join(smallest, "root").select("fp", "component_id"), "components")
     return fps.join(of, "fp")
 
 
+def word_fingerprints(text: str | None, kinds: int) -> list[int]:
+    """Fingerprints over the distinct words, each kind with hashes of its own."""
+    import numpy as np
+    from xxhash import xxh64_digest
+
+    words = list(set((text or "").encode().lower().split()))
+    if not words:
+        return [0] * kinds
+    h, out = np.frombuffer(b"".join([xxh64_digest(w, 42) for w in words]), ">u8").astype(np.uint64), []
+    for k in range(kinds):
+        z = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))  # the splitmix64 finaliser
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z = (z ^ z >> np.uint64(31)).astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones = sum(np.unpackbits(z[lo : lo + 4096], axis=1).sum(0, dtype=np.int32) for lo in range(0, len(z), 4096))
+        out.append(signed(int.from_bytes(np.packbits(ones * 2 > len(z)).tobytes(), "big")))
+    return out
+
+
+def jaccard_at_least(a: str, b: str, width: int, similarity: float) -> bool:
+    x, y = (set().union(*shingles(t, width)) for t in (a, b))
+    both = len(x & y)
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text ids whose shingle sets are similar enough. texts: id, text, any number of equal rows."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = staged(texts.join(needed, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "needed")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+
+    def test(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                a, b, x, y = (part.column(part.schema.get_field_index(c)) for c in "abxy")
+                good = pa.array([jaccard_at_least(i or "", j or "", width, similarity) for i, j in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], ["a", "b"])
+
+    return both.mapInArrow(test, "a long, b long")
+
+
+def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, kinds: int = 5, cell_limit: int = 32) -> DataFrame:
+    """Groups of near copies: Jaccard similarity of the sets of `width`-word shingles of at least `similarity`. Staged rows (id, root).
+
+    texts: id (the text's hash), text; equal rows may repeat. SimHash of shingles moves about ten bits at a similarity of 0.8, too far for a grid;
+    that of the distinct words moves about two. So candidates are pairs at two bits or fewer in one of `kinds` word fingerprints, by the
+    same embedding and grid, and each link is verified on the shingle sets. First every text is compared with the smallest of its candidate
+    component; then those pairs are compared of which one text wasn't tied so: other pairs are in one group already.
+    """
+
+    def measure(batches):
+        import pyarrow as pa
+
+        for part, some in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([word_fingerprints(t, kinds) for t in some], pa.list_(pa.int64()))], ["id", "fps"])
+
+    fps = staged(texts.select("id", "text").mapInArrow(measure, "id long, fps array<long>"), "words").select("id", F.posexplode("fps").alias("t", "fp")).distinct()
+    points = staged(fps.groupBy("t", "fp").agg(F.min("id").alias("id")), "points")
+    same = fps.join(points.withColumnRenamed("id", "b"), ["t", "fp"]).where("id <> b").select(F.col("id").alias("a"), "b")
+    name = lambda x: points.select("t", F.col("fp").alias(x), F.col("id").alias(f"i{x}"))
+    tied = links(points.select("t", "fp"), cell_limit).join(name("a"), ["t", "a"]).join(name("b"), ["t", "b"]).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    pairs = staged(same.union(tied).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    roots = staged(components(pairs, "candidates"), "roots")
+    direct = staged(verified(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), texts, width, similarity), "direct")
+    done = staged(direct.select("a").union(roots.select("root")).distinct().select(F.col("a").alias("id"), F.lit(True).alias("done")), "done")
+    ties = lambda x: done.select(F.col("id").alias(x), F.col("done").alias(f"d{x}"))
+    open_ = pairs.join(ties("a"), "a", "left").join(ties("b"), "b", "left").where("da is null or db is null").select("a", "b").join(direct, ["a", "b"], "left_anti")
+    others = staged(verified(staged(open_, "open"), texts, width, similarity), "others")
+    return staged(components(direct.union(others), "groups").select(F.col("node").alias("id"), "root"), "near")
+
+
+def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+    """docs without near copies: of each group the row of the smallest doc_id stays (of equal ones, any one)."""
+    fields = docs.columns
+    rows = staged(docs.withColumns({"_row": F.monotonically_increasing_id(), "_id": F.xxhash64(F.coalesce("text", F.lit("")))}), "rows")
+    groups = near_copies(rows.select(F.col("_id").alias("id"), "text"), **kw)
+    keys = rows.select("_row", "_id", "doc_id").join(groups, F.col("_id") == F.col("id"), "left").select("_row", "doc_id", F.coalesce("root", "_id").alias("g"))
+    keys = staged(keys, "keys")
+    first = keys.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select("m._row")
+    gone = keys.select("_row").join(first, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*fields)
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """All documents: fingerprints of 3-word shingles, linked at two bits or fewer."""
     fps = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3)
