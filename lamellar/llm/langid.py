@@ -16,6 +16,7 @@ import zlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamellar.llm.common import text_batches
 
@@ -153,9 +154,9 @@ def train(labelled: DataFrame, per_lang: int = 400) -> dict | None:
     return fit([k[0] for k in keys], np.stack([np.frombuffer(zlib.decompress(got[k]), "<f2") for k in keys]).astype(np.float32))
 
 
-def identify(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs (with a text column) and lang_pred, score."""
-    fields = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
+def identify(docs: DataFrame, model: dict | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (with a text column) and two columns, named by `names`; columns of docs with these names are replaced."""
+    fields = [f for f in docs.schema if f.name not in names]
     docs, at = docs.select(*[f.name for f in fields]), [f.name for f in fields].index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -167,11 +168,9 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
                 part = batch.slice(lo, 256)
                 texts = part.column(at).to_pylist()
                 langs, scores = predict(shared.value, texts) if shared.value else (["und"] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, *names])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(label, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(label, T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def held_out():

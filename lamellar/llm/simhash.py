@@ -25,6 +25,7 @@ from lamellar.llm.common import components, staged, text_batches
 GROUPS = ((0, 7), (7, 14), (14, 20), (20, 26), (26, 32))
 CELLS = [sum(3 << 2 * s for g in three for s in range(*GROUPS[g])) for three in combinations(range(5), 3)]
 EVEN = 0x5555555555555555
+ROW, ID = "__lamellar_row", "__lamellar_id"
 
 
 def signed(x: int) -> int:
@@ -180,13 +181,13 @@ def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, kinds
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """docs without near copies: of each group the row of the smallest doc_id stays (of equal ones, any one)."""
     fields = docs.columns
-    rows = staged(docs.withColumns({"_row": F.monotonically_increasing_id(), "_id": F.xxhash64(F.coalesce("text", F.lit("")))}), "rows")
-    groups = near_copies(rows.select(F.col("_id").alias("id"), "text"), **kw)
-    keys = rows.select("_row", "_id", "doc_id").join(groups, F.col("_id") == F.col("id"), "left").select("_row", "doc_id", F.coalesce("root", "_id").alias("g"))
+    rows = staged(docs.withColumns({ROW: F.monotonically_increasing_id(), ID: F.xxhash64(F.coalesce("text", F.lit("")))}), "rows")
+    groups = near_copies(rows.select(F.col(ID).alias("id"), "text"), **kw)
+    keys = rows.select(ROW, ID, "doc_id").join(groups, F.col(ID) == F.col("id"), "left").select(ROW, "doc_id", F.coalesce("root", ID).alias("g"))
     keys = staged(keys, "keys")
-    first = keys.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select("m._row")
-    gone = keys.select("_row").join(first, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*fields)
+    first = keys.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("m")).select("m." + ROW)
+    gone = keys.select(ROW).join(first, ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").select(*fields)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -92,13 +92,13 @@ def scores(urls: DataFrame, model: DataFrame, order: int = 3, broadcast_rows: in
 
 
 def calibrate(scored: DataFrame) -> float:
-    """scored: score, verdict, n of ruled URLs. The threshold; from at most 4,001 bins of scores."""
+    """scored: score, verdict, n of ruled URLs. The threshold, in the middle of the gap that parts best; from at most 4,001 bins of scores."""
     bins = scored.withColumn("bin", F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "score")), 2)).groupBy("bin").agg(*(F.sum(F.when(F.col("verdict") == c, F.col("n")).otherwise(0)).alias(c) for c in ("allow", "block")))
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy()
-    cut = bins.select("bin", (F.coalesce(F.sum("block").over(upto), F.lit(0)) / F.sum("block").over(total) - F.coalesce(F.sum("allow").over(upto), F.lit(0)) / F.sum("allow").over(total)).alias("gain"))
-    best = cut.agg(F.max("gain").alias("gain")).join(cut, "gain").agg((F.min("bin") + F.max("bin")) / 2).first()[0]
-    return float(best or 0.0) - 0.005
+    cut = bins.select("bin", F.coalesce(F.lag("bin").over(Window.orderBy("bin")), "bin").alias("below"), (F.coalesce(F.sum("block").over(upto), F.lit(0)) / F.sum("block").over(total) - F.coalesce(F.sum("allow").over(upto), F.lit(0)) / F.sum("allow").over(total)).alias("gain"))
+    best = cut.agg(F.max("gain").alias("gain")).join(cut, "gain").agg((F.min("below") + F.max("bin")) / 2).first()[0]
+    return float(best or 0.0)
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, order: int = 3, fold: int = 5) -> DataFrame:
