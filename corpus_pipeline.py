@@ -19,8 +19,9 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a letter whose language is told with LEAST_LANGUAGE_SCORE; a null lang gets the predicted one."""
-    told = langid.identify(docs, langid.train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = langid.identify(docs, langid.train(docs), ("__lamellar_lang", "__lamellar_score"))
+    told = told.where((F.col("__lamellar_lang") != "und") & (F.col("__lamellar_score") >= LEAST_LANGUAGE_SCORE))
+    return told.withColumn("lang", F.coalesce("lang", "__lamellar_lang")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
