@@ -4,9 +4,10 @@ Base spans are found by patterns (leftmost, not overlapping, each kind apart) an
 of a phone number. Their values are the protected entities. Positions come from splitting the text at the matches, in code points.
 
 Disclosure: a term is a run of letters, lower-cased. For a term near an entity (within `window` words), its evidence is the number of distinct
-contexts in which the two stand together (copies of a passage count once), p(entity | term) is that number over the documents with the term, and
-the information is log2(p(entity | term) / p(entity)). A term with evidence of `least_contexts`, p of `least_share` and information of
-`least_bits` or more discloses: its occurrences in all documents become spans of kind `term`. Document counts of terms are over all documents.
+contexts in which the two stand together (copies of a passage count once). Near copies of a passage are no evidence: of the other words in these
+contexts, `least_novelty` must stand in half of the contexts or fewer. p(entity | term) is the share of the documents with the term in which they
+stand together, and the information is log2(p(entity | term) / p(entity)). A term with evidence of `least_contexts`, p of `least_share` and
+information of `least_bits` or more discloses: its occurrences in all documents become spans of kind `term`. Document counts of terms are over all documents.
 `sanitise` replaces base spans by their kind and disclosing terms by [TERM].
 
 Null text: as empty. Null doc_id, repeated doc_ids and equal rows: each row gets its own result, rows are told apart by their place.
@@ -89,7 +90,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w != "")
 
 
-def disclosing_terms(rows: DataFrame, window: int = 4, least_contexts: int = 3, least_share: float = 0.5, least_bits: float = 3.0, least_letters: int = 3, reach: int = 160) -> DataFrame:
+def disclosing_terms(rows: DataFrame, window: int = 4, least_contexts: int = 3, least_share: float = 0.5, least_bits: float = 3.0, least_novelty: float = 0.5, least_letters: int = 3, reach: int = 160) -> DataFrame:
     """rows: row, text, spans. Staged: term, entity, evidence, share, bits. `reach`: characters beside a span in which its window lies."""
     spans = rows.where(F.size("spans") > 0).select("text", F.explode("spans").alias("s"))
     left = words_of(F.substring(F.col("text"), F.greatest(F.col("s.start") - reach + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(reach))))
@@ -101,7 +102,11 @@ def disclosing_terms(rows: DataFrame, window: int = 4, least_contexts: int = 3,
     total, entities = rows.count(), beside.groupBy("entity").agg(F.sum("n").alias("entity_rows"))
     pairs = beside.select("entity", F.explode(F.array_distinct("near")).alias("term"), "n").where(F.length("term") >= least_letters)
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("evidence"), F.sum("n").alias("together")).where(F.col("evidence") >= least_contexts)
-    pairs = staged(pairs, "pairs")
+    near = beside.select("entity", "context", F.explode(F.array_distinct("near")).alias("word"))
+    stand = near.withColumnRenamed("word", "term").join(pairs, ["entity", "term"])
+    shared = stand.join(near, ["entity", "context"]).where("word <> term").groupBy("entity", "term", "word").agg(F.count("*").alias("k"), F.first("evidence").alias("e"))
+    novel = shared.groupBy("entity", "term").agg((F.sum(F.when(2 * F.col("k") <= F.greatest("e", F.lit(2)), F.col("k")).otherwise(0)) / F.sum("k")).alias("novelty"))
+    pairs = staged(pairs.join(novel.where(F.col("novelty") >= least_novelty), ["entity", "term"]), "pairs")
     # rows that hold a term: distinct words of a row, counted where they are read before they are exchanged
     held = rows.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("term_rows"))
     known = pairs.join(held, "term").join(entities, "entity")

@@ -414,12 +414,16 @@ def test_base_spans_on_odd_strings(spark):
 
 def test_terms_disclose(spark):
     data = [(i, f"{prose(i, 12)} Kowalczyk x.kow@mail.example {prose(50 + i, 12)}") for i in range(5)] + [(10, f"{prose(90, 20)} KOWALCZYK, {prose(91, 20)}")]
-    data += [(20 + i, prose(400 + i, 40)) for i in range(60)] + [(100 + i, data[0][1]) for i in range(5)]
+    data += [(1000 + i, prose(400 + i, 40)) for i in range(200)] + [(100 + i, data[0][1]) for i in range(5)]
+    page = prose(700, 40).split()  # near copies of one passage tell nothing: a word changes in each, the entity stays
+    for i in range(12):
+        data.append((200 + i, " ".join([*page[: 14 + i % 8], f"new{chr(97 + i)}", *page[15 + i % 8 : 20], "10.1.2.3", "verbatim", *page[20:]])))
     docs = spark.createDataFrame([(i, t, "k") for i, t in data], "doc_id long, text string, row string")
     spans = {r.kept_doc_id: [s for s in r.spans if s.kind == "term"] for r in pii.find_spans(docs, ["doc_id"]).collect()}
-    assert [s.value for s in spans[10]] == ["KOWALCZYK"] and not any(spans[20 + i] for i in range(60))
+    assert [s.value for s in spans[10]] == ["KOWALCZYK"] and not any(spans[1000 + i] for i in range(200))
+    assert not any(spans[200 + i] for i in range(12))
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert "[TERM] [EMAIL]" in out[0] and "[TERM]," in out[10] and out[20] == data[6][1] and pii.sanitise(docs).columns == docs.columns
+    assert "[TERM] [EMAIL]" in out[0] and "[TERM]," in out[10] and out[1000] == data[6][1] and pii.sanitise(docs).columns == docs.columns
 
 
 def test_sanitise_overlaps_and_nulls(spark):
