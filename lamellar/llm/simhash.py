@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from lamellar.llm.common import components, staged, text_batches
 
-GROUPS = ((0, 7), (7, 14), (14, 20), (20, 26), (26, 32))
-CELLS = [sum(3 << 2 * s for g in three for s in range(*GROUPS[g])) for three in combinations(range(5), 3)]
 EVEN = 0x5555555555555555
 ROW, ID = "__lamellar_row", "__lamellar_id"
 
@@ -32,6 +30,13 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def cell_masks(bits: int) -> list[int]:
+    """For each three of five groups of segments, the bits of these groups."""
+    n = bits // 2
+    groups = [range(n * g // 5, n * (g + 1) // 5) for g in range(5)]
+    return [sum(3 << 2 * s for g in three for s in groups[g]) for three in combinations(range(5), 3)]
+
+
 def shingles(text: str | None, width: int, most: int = 1 << 16):
     """Lists of up to `most` shingles (bytes) of a text, words joined by single spaces."""
     words = (text or "").encode().lower().split()  # bytes.lower changes A-Z only, bytes.split cuts at ASCII white space only
@@ -75,10 +80,10 @@ def embedding(fp: Column) -> Column:
     return fp.bitwiseOR(high).bitwiseAND(even).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(even), 1))
 
 
-def links(points: DataFrame, cell_limit: int = 32) -> DataFrame:
-    """points: distinct (t, fp), t the number of the fingerprint's kind. Rows (t, a, b) that tie what pairs at two bits or fewer tie."""
+def links(points: DataFrame, cell_limit: int = 32, bits: int = 64) -> DataFrame:
+    """points: distinct (t, fp), t the number of the fingerprint's kind, fp of so many bits. Rows (t, a, b) that tie what pairs at two bits or fewer tie."""
     cells = points.withColumn("e", embedding(F.col("fp"))).select(
-        "t", "fp", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(signed(m))) for m in CELLS))).alias("grid", "cell")
+        "t", "fp", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(signed(m))) for m in cell_masks(bits)))).alias("grid", "cell")
     )
     key = ["t", "grid", "cell"]
     sizes = cells.groupBy(*key).count().where("count > 1")
@@ -87,7 +92,7 @@ def links(points: DataFrame, cell_limit: int = 32) -> DataFrame:
     a, b = (cold.select(*key, F.col("fp").alias(x), F.col("e").alias(f"e{x}")) for x in "ab")
     pairs = a.join(b, key).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) <= 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
     hot = shared.where(F.col("count") > cell_limit).select("t", "fp").distinct()
-    near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)))
+    near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(bits)))
     met = hot.select("t", "fp", F.explode(near).alias("point"))
     centre = met.groupBy("t", "point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "point", "b")
     stars = met.join(centre, ["t", "point"]).where("fp <> b").select("t", F.col("fp").alias("a"), "b")
@@ -104,7 +109,7 @@ def near_duplicates(fps: DataFrame, cell_limit: int = 32) -> DataFrame:
     return fps.join(of, "fp")
 
 
-def word_fingerprints(text: str | None, kinds: int) -> list[int]:
+def word_fingerprints(text: str | None, kinds: int, bits: int = 48) -> list[int]:
     """Fingerprints over the distinct words, each kind with hashes of its own."""
     import numpy as np
     from xxhash import xxh64_digest
@@ -119,7 +124,7 @@ def word_fingerprints(text: str | None, kinds: int) -> list[int]:
         z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         z = (z ^ z >> np.uint64(31)).astype(">u8").view(np.uint8).reshape(-1, 8)
         ones = sum(np.unpackbits(z[lo : lo + 4096], axis=1).sum(0, dtype=np.int32) for lo in range(0, len(z), 4096))
-        out.append(signed(int.from_bytes(np.packbits(ones * 2 > len(z)).tobytes(), "big")))
+        out.append(signed(int.from_bytes(np.packbits(ones * 2 > len(z)).tobytes(), "big") & (1 << bits) - 1))
     return out
 
 
@@ -148,12 +153,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return both.mapInArrow(test, "a long, b long")
 
 
-def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, kinds: int = 5, cell_limit: int = 32) -> DataFrame:
+def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, kinds: int = 6, bits: int = 48, cell_limit: int = 32) -> DataFrame:
     """Groups of near copies: Jaccard similarity of the sets of `width`-word shingles of at least `similarity`. Staged rows (id, root).
 
     texts: id (the text's hash), text; equal rows may repeat. SimHash of shingles moves about ten bits at a similarity of 0.8, too far for a grid;
-    that of the distinct words moves about two. So candidates are pairs at two bits or fewer in one of `kinds` word fingerprints, by the
-    same embedding and grid, and each link is verified on the shingle sets. First every text is compared with the smallest of its candidate
+    that of the distinct words moves about three of 64. So candidates are pairs at two bits or fewer in one of `kinds` word fingerprints of
+    `bits` bits, by the same embedding and grid, and each link is verified on the shingle sets. First every text is compared with the smallest of its candidate
     component; then those pairs are compared of which one text wasn't tied so: other pairs are in one group already.
     """
 
@@ -161,13 +166,13 @@ def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, kinds
         import pyarrow as pa
 
         for part, some in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([word_fingerprints(t, kinds) for t in some], pa.list_(pa.int64()))], ["id", "fps"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([word_fingerprints(t, kinds, bits) for t in some], pa.list_(pa.int64()))], ["id", "fps"])
 
     fps = staged(texts.select("id", "text").mapInArrow(measure, "id long, fps array<long>"), "words").select("id", F.posexplode("fps").alias("t", "fp")).distinct()
     points = staged(fps.groupBy("t", "fp").agg(F.min("id").alias("id")), "points")
     same = fps.join(points.withColumnRenamed("id", "b"), ["t", "fp"]).where("id <> b").select(F.col("id").alias("a"), "b")
     name = lambda x: points.select("t", F.col("fp").alias(x), F.col("id").alias(f"i{x}"))
-    tied = links(points.select("t", "fp"), cell_limit).join(name("a"), ["t", "a"]).join(name("b"), ["t", "b"]).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    tied = links(points.select("t", "fp"), cell_limit, bits).join(name("a"), ["t", "a"]).join(name("b"), ["t", "b"]).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     pairs = staged(same.union(tied).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     roots = staged(components(pairs, "candidates"), "roots")
     direct = staged(verified(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), texts, width, similarity), "direct")
