@@ -40,22 +40,38 @@ def parsed(messages: DataFrame) -> DataFrame:
     quoted = F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^\s*>")
     runs = F.when(quoted, F.aggregate(marked, empty, step)).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.coalesce("text", F.lit("")).alias("line"))))
     own = F.filter("runs", lambda r: r["level"] == 0)
-    body = F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda r: F.when(quoted, F.regexp_replace(r["line"], r"(?m)^.*wrote:\s*$", "")).otherwise(r["line"])), "\n"), r"\n{3,}", "\n\n"))
+    unquoted = F.array_join(F.transform(own, lambda r: F.regexp_replace(r["line"], r"(?m)^.*wrote:\s*$", "")), "\n")
+    body = F.when(quoted, F.regexp_replace(F.regexp_replace(unquoted, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).otherwise(F.coalesce("text", F.lit("")))
     hashes = F.filter(F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), normalised(r["line"]).alias("text"))), lambda q: q["text"] != "")
     out = messages.select("conv_id", "turn", "role", "text").withColumn("runs", runs).withColumn("body", body)
     return out.withColumn("quotes", F.transform(hashes, lambda q: F.struct(q["level"].alias("level"), F.xxhash64(q["text"]).alias("hash")))).drop("runs")
 
 
-def parents(messages: DataFrame) -> DataFrame:
-    """messages (staged: row, conv_id, turn, body, quotes). Rows (row, parent) of the messages that quote an earlier one."""
-    quotes = messages.where(F.size("quotes") > 0).select("row", "conv_id", F.col("turn").alias("at"), F.explode("quotes").alias("q")).select("row", "conv_id", "at", "q.level", "q.hash")
-    quotes = staged(quotes, "quotes")
+def conversation_key() -> Column:
+    return F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))
+
+
+def parents(messages: DataFrame, block: int = 1000) -> DataFrame:
+    """messages (staged: row, conv_id, turn, body, quotes). Rows (row, parent) of the messages that quote an earlier one.
+
+    The latest earlier turn with a hash is an as-of lookup: a running maximum within blocks of turns, and over the blocks before. So a passage
+    that is said and quoted countless times makes no pairs, and no task holds all of it.
+    """
+    asked = messages.where((F.size("quotes") > 0) & F.col("turn").isNotNull()).select(conversation_key().alias("c"), "row", F.col("turn").alias("at"), F.explode("quotes").alias("q"))
+    asked = staged(asked.select("c", F.col("q.hash").alias("h"), "at", "row", "q.level"), "quotes")
     pieces = F.array_distinct(F.concat(F.array(normalised(F.col("body"))), F.transform(F.split("body", r"\n\s*\n"), normalised), F.transform(F.split("body", r"\n"), normalised)))
-    asked = quotes.select("conv_id").distinct()
-    own = messages.join(asked, messages.conv_id.eqNullSafe(asked.conv_id), "left_semi").select(F.col("conv_id").alias("c"), F.col("row").alias("parent"), F.col("turn").alias("said"), F.explode(F.filter(pieces, lambda x: x != "")).alias("piece"))
-    own = own.select("c", "said", "parent", F.xxhash64("piece").alias("h")).groupBy("c", "h", "said").agg(F.min("parent").alias("parent"))
-    hit = quotes.join(own, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("said") < F.col("at")))
-    return hit.groupBy("row").agg(F.min_by("parent", F.struct(F.col("level"), -F.col("said"))).alias("parent"))
+    own = messages.where("turn is not null").withColumn("c", conversation_key()).join(asked.select("c").distinct(), "c", "left_semi")
+    own = own.select("c", F.col("turn").alias("at"), "row", F.explode(F.filter(pieces, lambda x: x != "")).alias("piece")).select("c", F.xxhash64("piece").alias("h"), "at", "row")
+    own = own.join(asked.select("c", "h").distinct(), ["c", "h"], "left_semi")
+    said = own.groupBy("c", "h", "at").agg(F.min("row").alias("parent")).select("c", "h", "at", F.struct(F.col("at").alias("said"), "parent").alias("s"))
+    none = F.lit(None).cast("struct<said:bigint,parent:bigint>")
+    both = said.select("*", F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("int").alias("level"), F.lit(1).alias("kind")).union(asked.select("c", "h", "at", none.alias("s"), "row", "level", F.lit(0).alias("kind")))
+    both = staged(both.withColumn("block", F.floor(F.col("at") / block)), "turns")
+    upto = Window.partitionBy("c", "h", "block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("c", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy("c", "h", "block").agg(F.max("s").alias("m")).select("c", "h", "block", F.max("m").over(earlier).alias("before"))
+    hit = both.withColumn("within", F.max("s").over(upto)).where("kind = 0").join(blocks, ["c", "h", "block"]).select("row", "level", F.coalesce("within", "before").alias("s")).where("s is not null")
+    return hit.groupBy("row").agg(F.min_by("s.parent", F.struct(F.col("level"), -F.col("s.said"))).alias("parent"))
 
 
 def reply_order(messages: DataFrame, links: DataFrame) -> DataFrame:
@@ -78,10 +94,17 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     return reply_order(rows, links).select("conv_id", "turn", "role", "body", "parent_turn", "depth", "path")
 
 
-def conversations(messages: DataFrame) -> DataFrame:
-    """The linked messages with `place`, gapless from 0 in reply order within the conversation."""
-    w = Window.partitionBy("conv_id").orderBy("path")
-    return link_quotations(messages).withColumn("place", F.row_number().over(w) - 1)
+def conversations(messages: DataFrame, block: int = 1000) -> DataFrame:
+    """The linked messages with `place`, gapless from 0 in reply order within the conversation.
+
+    A root and its replies fall into blocks of roots' turns, in order; places are ranks within a block and the sizes of the blocks before.
+    """
+    out = link_quotations(messages).withColumns({"c": conversation_key(), "block": F.coalesce(F.floor(F.col("path")[0]["turn"] / block), F.lit(-(1 << 62)))})
+    out = staged(out, "linked")
+    before = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = out.groupBy("c", "block").count().select("c", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("c", "block").orderBy("path"))
+    return out.join(sizes, ["c", "block"]).withColumn("place", F.col("before") + within - 1).drop("c", "block", "before")
 
 
 def op6_quotation_linking(spark, sf_dir: str) -> DataFrame:

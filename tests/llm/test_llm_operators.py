@@ -301,6 +301,25 @@ def test_long_reply_chains(spark):
     assert [r.depth for r in got] == list(range(20)) and [r.place for r in got] == list(range(20))
 
 
+def test_quotations_across_blocks(spark):
+    r = random.Random(9)
+    talk = [(1, k, "u", r.choice(["yes", "no", "> yes\nwell", "> no\n> > yes\nso"])) for k in range(120)]
+    rows_ = quotes.staged(quotes.parsed(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).withColumn("row", F.col("turn")), "t")
+    want = {}
+    for k, t in enumerate(x[3] for x in talk):
+        said = {"> yes\nwell": "yes", "> no\n> > yes\nso": "no"}.get(t)
+        earlier = [j for j in range(k) if talk[j][3].split("\n")[-1] == said]
+        if said == "no" and not earlier:
+            earlier = [j for j in range(k) if talk[j][3].split("\n")[-1] == "yes"]
+        if said and earlier:
+            want[k] = earlier[-1]
+    for block in (1, 7, 1000):
+        assert {x.row: x.parent for x in quotes.parents(rows_, block).collect()} == want
+    for block in (1, 50):
+        got = quotes.conversations(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"), block).collect()
+        assert [x.place for x in sorted(got, key=lambda x: x.path)] == list(range(120))
+
+
 # ---- 7
 
 
