@@ -70,6 +70,39 @@ def results(predictions: DataFrame, classes: int) -> DataFrame:
     return metric_bundle(done, ["model", "task"], classes).join(auroc_multiclass(done, ["model", "task"]), ["model", "task"], "left").withColumn("n_classes", F.lit(classes))
 
 
+def single(embeddings: DataFrame, labels: DataFrame, path: str = "path", epochs: int = 100, rate: float = 1e-3, val_share: float = 0.2, seed: int = 0) -> DataFrame:
+    """One probe from a label table (path or base name, label, split): metrics of its validation rows.
+
+    A split column, where any row has one, decides; else a random split. Labels may be any text: classes are their sorted values.
+    """
+    from lamellar.operators.lookups import exact_or_base
+    from lamellar.operators.selection import random_split
+
+    rows = exact_or_base(embeddings.select(path, "embedding"), labels, path, "path", "label").where(F.col("label").isNotNull())
+    if "split" in labels.columns:
+        rows = exact_or_base(rows, labels, path, "path", "split")
+    names = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]
+    numbered = rows.withColumn("y", F.array_position(F.array(*map(F.lit, names)), F.col("label")).cast("int") - 1)
+    if "split" in labels.columns and rows.where("coalesce(split, '') <> ''").limit(1).count():
+        numbered = numbered.where(F.col("split").isin("train", "val", "valid", "test")).withColumn("is_val", F.col("split") != "train")
+    else:
+        numbered = random_split(numbered, path, val_share, seed)
+    classes = len(names)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        val, y, x = frame["is_val"].to_numpy(), frame["y"].to_numpy(), np.stack(frame["embedding"]).astype(float)
+        mean, dev = x[~val].mean(0), np.maximum(x[~val].std(0, ddof=1), 1e-6)
+        x = (x - mean) / dev
+        w, b = fit_probe(x[~val], y[~val], classes, epochs, rate, seed=seed)
+        q = np.exp(x[val] @ w.T + b - (x[val] @ w.T + b).max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+        return pd.DataFrame({"model": "single", "task": "single", "item_id": frame[path][val].astype(str), "y": y[val], "pred": q.argmax(1), "prob": list(q), "reason": None})
+
+    return results(numbered.withColumn("cell", F.lit("single")).groupBy("cell").applyInPandas(fit, PREDICTIONS), classes)
+
+
 def logistic(df: DataFrame, features: str, label: str, decay: float = 1e-4):
     """The idiomatic head for data that doesn't fit a task: distributed multinomial regression; returns the fitted pipeline."""
     from pyspark.ml import Pipeline

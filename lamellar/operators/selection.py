@@ -82,6 +82,14 @@ def stratified_split(df: DataFrame, label: str, key: Column, share: float, seed:
     return df.withColumns({"_n": n, "_p": place}).withColumn("is_val", F.col("_p") <= want).drop("_n", "_p")
 
 
+def random_split(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """is_val for max(1, floor(n * share)) rows, the smallest by a hash of the key; ties of the hash by the key."""
+    n = df.count()
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    cut = df.select(h.alias("h"), key).orderBy("h", key).limit(max(1, int(n * share))).agg(F.max("h")).first()[0]
+    return df.withColumn("is_val", h <= F.lit(cut))
+
+
 def column_split(df: DataFrame, split: str) -> DataFrame:
     """is_val from an explicit split column."""
     return df.where(F.col(split).isin("train", "val", "valid", "test")).withColumn("is_val", F.col(split) != "train")

@@ -100,3 +100,17 @@ class Build:
 def env_config(prefix: str = "LAMELLAR_", environ: dict | None = None) -> dict[str, str]:
     """Settings from the environment, lower-cased, without the prefix."""
     return {k.removeprefix(prefix).lower(): v for k, v in (os.environ if environ is None else environ).items() if k.startswith(prefix)}
+
+
+def setting(values: dict, key: str, default: int) -> int:
+    """An integer setting; unset or no number (a sentinel such as `-` or `auto`): the default."""
+    try:
+        return int(values.get(key) or default)
+    except (TypeError, ValueError):
+        return default
+
+
+def compute_line(compute: dict | None) -> str:
+    """The compute section as one line, `-` for what is unset."""
+    c = compute or {}
+    return " ".join(str(d if c.get(k) is None else c[k]) for k, d in (("batch_size", "-"), ("num_workers", "auto"), ("amp_dtype", "auto"), ("prefetch_factor", "-")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamellar.functions import filters, scalars
-from lamellar.operators import facets, hierarchy, imaging, labels, leaderboard, lookups, metrics, pooling, presence, selection
+from lamellar.operators import acquire, facets, hierarchy, imaging, labels, leaderboard, lookups, metrics, pooling, presence, selection
 from lamellar.sources import files as file_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,6 +248,36 @@ def md5_verify(t: Tables) -> DataFrame:
     return claimed.select("doc_id", facets.md5_status(F.col("text"), F.col("claimed")).alias("status"))
 
 
+# ---- acquisition
+
+
+@registered("SELECT doc_id, '/slides/' || doc_id || '/' || source AS slide_local_path, CASE WHEN quality = 1 THEN '/maf/' || doc_id || '/' || lang END AS maf_local_path FROM documents LEFT JOIN labels USING (doc_id)")
+def local_paths(t: Tables) -> DataFrame:
+    rows = t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.col("doc_id").alias("file_id"), F.col("source").alias("filename"), F.col("quality").alias("has_maf"), F.col("doc_id").alias("maf_file_id"), F.col("lang").alias("maf_filename"))
+    return acquire.stringified_paths(acquire.local_paths(rows, "/slides", "/maf")).select("doc_id", "slide_local_path", "maf_local_path")
+
+
+@registered("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS slide_exists FROM documents")
+def existence_flags(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.concat(F.lit("/d/"), "doc_id").alias("slide_local_path"))
+    listing = t.labels.where("toxic = 1").select(F.concat(F.lit("/d/"), "doc_id").alias("path"))
+    return acquire.existence_flags(rows, listing, {"slide_local_path": "slide_exists"}).select("doc_id", "slide_exists")
+
+
+@registered("SELECT CASE WHEN l.doc_id IS NOT NULL AND toxic = 1 THEN 'skip' WHEN d.doc_id % 11 = 0 THEN 'fail' WHEN d.doc_id % 2 = 0 THEN 'reuse' ELSE 'download' END AS action, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND toxic = 1 GROUP BY 1")
+def acquisition_plan(t: Tables) -> DataFrame:
+    work = t.documents.select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("f"), "doc_id")).alias("file_id"))
+    cached = t.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("f"), "doc_id").alias("file_id"))
+    plan = acquire.acquisition(work, t.labels.where("toxic = 1"), cached, "doc_id", "file_id")
+    return plan.groupBy("action").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT source, CASE WHEN bool_or(doc_id % 50 = 0) THEN 'no_access' WHEN bool_or(doc_id % 9 = 0) THEN 'failed' ELSE 'ok' END AS state FROM documents GROUP BY 1")
+def run_states(t: Tables) -> DataFrame:
+    status = F.when(F.col("doc_id") % 50 == 0, "no_access").when(F.col("doc_id") % 9 == 0, "failed").otherwise("processed")
+    return acquire.run_state(t.documents.select("source", status.alias("status")), "source")
+
+
 # ---- presence matrices
 
 
@@ -339,6 +369,11 @@ def stratified_split(t: Tables) -> DataFrame:
     return selection.stratified_split(t.labels, "quality", F.col("doc_id"), 0.2).select("doc_id", "is_val")
 
 
+@registered("SELECT doc_id, h <= (SELECT max(h) FROM (SELECT h FROM (SELECT md5('0:' || doc_id) AS h FROM labels) ORDER BY h LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.2) AS BIGINT)) FROM labels))) AS is_val FROM (SELECT doc_id, md5('0:' || doc_id) AS h FROM labels)")
+def random_split(t: Tables) -> DataFrame:
+    return selection.random_split(t.labels, "doc_id", 0.2).select("doc_id", "is_val")
+
+
 # ---- labels
 
 

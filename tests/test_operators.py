@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from lamellar import schemas
 from lamellar.functions import filters, scalars
-from lamellar.operators import encode, facets, hierarchy, imaging, labels, leaderboard, lookups, metrics, pooling, presence, probe, selection
-from lamellar.plans.dataset import Build, Config, env_config
-from lamellar.sources import files, rest, transfer
+from lamellar.operators import acquire, encode, facets, hierarchy, imaging, labels, leaderboard, lookups, metrics, pooling, presence, probe, selection
+from lamellar.plans.dataset import Build, Config, compute_line, env_config, setting
+from lamellar.sources import entities, files, rest, results, transfer
 from lamellar.streaming.files import process_new, windowed_counts
 
 
@@ -370,3 +370,39 @@ def test_streams(spark, tmp_path):
     assert sorted(r.x for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2 * i for i in range(12)]
     e = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:30' AS ts, 'a' AS k UNION ALL SELECT timestamp_ntz'2024-01-01 00:07:00', 'a'")
     assert sorted(r.n for r in windowed_counts(e, "ts", "5 minutes", ["k"]).collect()) == [1, 1]
+
+
+def test_typed_scans(spark):
+    c, (f, _) = cases(spark), file_rows(spark)
+    assert entities.cases(c, project_id="P1", vital_status=None).count() == 4 and entities.cases(c, case_ids=["c1", "c2"], gender="f", most=1).count() == 1
+    assert entities.files(f, "P1", sort="file_size:desc", fields=["file_id"]).columns == ["file_id"] and entities.slide_images(f, "P1").count() == 0
+    assert entities.flat_files(f).where("file_id = 'f1'").first().project_id == "P1"
+    assert "samples.portions.slides.slide_id" in entities.catalog("cases") and entities.present(c, entities.catalog("cases", "demographic")) == ["demographic.gender", "demographic.race", "demographic.ethnicity", "demographic.year_of_birth", "demographic.year_of_death"]
+    p = spark.createDataFrame([("A", ("X",)), ("B", ("Y",))], "project_id string, program struct<name:string>")
+    assert [r.project_id for r in entities.projects(p, "X").collect()] == ["A"]
+
+
+def test_acquisition(spark):
+    work = spark.createDataFrame([("s1", "f1"), ("s2", None), ("s3", "f3"), ("s4", "f4")], "slide_id string, file_id string")
+    one = lambda v, c: spark.createDataFrame([(v,)], f"{c} string")
+    plan = acquire.acquisition(work, one("s1", "slide_id"), one("f3", "file_id"), "slide_id", "file_id", stream=True)
+    assert {r.slide_id: r.action for r in plan.collect()} == {"s1": "skip", "s2": "fail", "s3": "reuse", "s4": "stream"}
+    out = acquire.outcome(plan, spark.createDataFrame([("s3", "processed")], "slide_id string, status string"), "slide_id")
+    assert {r.slide_id: r.status for r in out.collect()} == {"s1": "skipped", "s2": "failed", "s3": "processed", "s4": "missing"}
+
+
+def test_single_probe_and_results(spark, tmp_path):
+    r = random.Random(0)
+    data = [(f"/x/p{i}.jpg", [r.gauss(4 * (i % 2), 1), r.gauss(0, 1)]) for i in range(60)]
+    emb = spark.createDataFrame(data, "path string, embedding array<double>")
+    lab = [(f"p{i}.jpg" if i % 3 else f"/x/p{i}.jpg", "ab"[i % 2], "val" if i % 5 == 0 else "train") for i in range(60)]
+    by_column = probe.single(emb, spark.createDataFrame(lab, "path string, label string, split string"), rate=0.05)
+    row = by_column.first()
+    assert row.n == 12 and row.accuracy > 0.8
+    assert probe.single(emb, spark.createDataFrame([x[:2] for x in lab], "path string, label string"), rate=0.05).first().n == 12
+    results.write_results(by_column, str(tmp_path / "r"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "r/results_csv")).first().task == "single"
+    results.write_embeddings(emb.withColumn("model", F.lit("m1")), str(tmp_path / "e"))
+    results.write_embeddings(emb.withColumn("model", F.lit("m0")), str(tmp_path / "e"))
+    assert [r.model for r in results.models(spark, str(tmp_path / "e")).collect()] == ["m0", "m1"]
+    assert setting({"a": "auto"}, "a", 8) == 8 and setting({"a": "3"}, "a", 8) == 3 and compute_line({"batch_size": 128}) == "128 auto auto -"
