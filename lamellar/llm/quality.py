@@ -103,3 +103,29 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Verdicts on all documents."""
     out = quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle(spread_factor: float = 4.0, least_rows: int = 30) -> str:
+    """DuckDB SQL for op4_quality_rules while no group has more rows than a sketch keeps exactly. doc_id must be unique."""
+    quartiles = ", ".join(f"quantile_disc({m}, {q}) AS {m}_{k}" for m in SLACK for k, q in (("lo", 0.25), ("mid", 0.5), ("hi", 0.75)))
+    pick = lambda m, k: f"CASE WHEN g.n >= {least_rows} THEN g.{m}_{k} WHEN l.n >= {least_rows} THEN l.{m}_{k} ELSE a.{m}_{k} END"
+    reach = lambda m: f"({spread_factor} * ({pick(m, 'hi')} - {pick(m, 'lo')}) + {SLACK[m]})"
+    within = " AND ".join(f"s.{m} <= {pick(m, 'mid')} + {reach(m)}" for m in SLACK) + f" AND s.mean_word >= {pick('mean_word', 'mid')} - {reach('mean_word')}"
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, v) > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
+b AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+  length(t) - length(regexp_replace(t, '[!-/:-@\\[-`{{-~]', '', 'g')) AS n_marks FROM d LEFT JOIN cover USING (doc_id)),
+s AS (SELECT *, n_symbols::DOUBLE / greatest(n_words, 1) AS symbols_per_word, n_marks::DOUBLE / greatest(n_words, 1) AS marks_per_word, n_upper::DOUBLE / greatest(word_chars, 1) AS upper_share,
+  n_dup_lines::DOUBLE / greatest(n_lines, 1) AS dup_line_share, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_share, word_chars::DOUBLE / greatest(n_words, 1) AS mean_word,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+g AS (SELECT lang, source, count(*) AS n, {quartiles} FROM s WHERE n_words > 0 GROUP BY 1, 2),
+l AS (SELECT lang, count(*) AS n, {quartiles} FROM s WHERE n_words > 0 GROUP BY 1),
+a AS (SELECT {quartiles} FROM s WHERE n_words > 0)
+SELECT s.doc_id, s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, s.base_failed, NOT s.base_failed AND coalesce({within}, false) AS kept
+FROM s LEFT JOIN g ON g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source LEFT JOIN l ON l.lang IS NOT DISTINCT FROM s.lang, a"""
