@@ -25,8 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this process has put into the shared folder.
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lamellar-{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/lamellar-{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Deletes the folders this process has written; for when results have been written and no DataFrame reads them any more."""
+    n = 0
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
