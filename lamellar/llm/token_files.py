@@ -117,7 +117,11 @@ def token_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, rows: in
 
     from lamellar.llm.tokens import encoder
 
-    few = docs.where(F.length("text").between(1, chars)).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(rows)
+    short = docs.where(F.length("text").between(1, chars)).withColumn("h", F.xxhash64("doc_id", "text"))
+    n = short.agg(F.count("*")).first()[0]
+    # of n hashes, about 2 * rows lie below this; so what tasks send to the driver doesn't grow with their number
+    low = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * (rows + 100) // max(1, n))
+    few = short.where(F.col("h") <= low).select("text", "h").orderBy("h", "text").limit(rows)
     encode, last, narrow = encoder(tokenizer_path).encode, struct.pack("<I", end_id), Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 65536
     samples = [encode(r[0]) + last for r in few.collect()]
     if narrow:
