@@ -2,7 +2,7 @@
 
 Features: hashed counts of byte pairs and byte triples of the lower-cased text, everything but letters taken as a space; log-scaled, length 1.
 Families come from FAMILIES; a language that isn't there is a family of its own. The family step is a softmax regression.
-Training rows: at most `per_lang` distinct texts of each language, those of the smallest hash (a bounded sample; the same at every size).
+Training rows: about `per_lang` distinct texts of each language (all, if it has fewer), those of the smallest hash: a bounded sample, whatever the size.
 Learning uses text and lang alone; prediction uses text alone.
 
 Null text or text without a letter: `und`, score 0. Null lang: never a training row. No training rows at all: every text is `und`.
@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,10 +134,11 @@ def train(labelled: DataFrame, per_lang: int = 400) -> dict | None:
     import numpy as np
 
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = rows.select("lang", "h").distinct().withColumn("k", first).where(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut")).collect()
-    if not cuts:
+    kinds = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    if not kinds:
         return None
+    # hashes are even, so about per_lang of a language's n texts lie below this
+    cuts = [(lang, -(1 << 63) + min((1 << 64) - 1, (1 << 64) * per_lang // n)) for lang, n in kinds]
     chosen = F.lit(False)
     for lang, cut in cuts:
         chosen |= (F.col("lang") == lang) & (F.col("h") <= cut)
