@@ -81,6 +81,8 @@ def train(ruled: DataFrame, order: int = 3, least_context: int = 2) -> DataFrame
 def scores(urls: DataFrame, model: DataFrame, order: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
     """urls: distinct url. url, score: the mean log ratio of its characters."""
     hint = F.broadcast if model.count() <= broadcast_rows else (lambda df: df)
+    # a URL grows to a row for each character, so small inputs are spread first
+    urls = urls.select("url").repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
     at = urls.select("url", F.posexplode(contexts(folded(F.col("url")), order)).alias("i", "g"))
     at = at.groupBy("url", "g").agg(F.count("*").alias("times"))
     best = F.lit(None).cast("double")
