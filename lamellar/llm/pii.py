@@ -116,13 +116,15 @@ def disclosing_terms(rows: DataFrame, window: int = 4, least_contexts: int = 3,
 
 
 def with_terms(rows: DataFrame, terms: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """rows with spans of kind `term` added. The terms are broadcast only below a checked count; else both sides are exchanged by term."""
+    """rows with spans of kind `term` added. Terms, and rows that hold one, are broadcast only below a checked count, else exchanged."""
     terms = terms.select("term").distinct()
     n = terms.count()
     if n == 0:
         return rows
     hint = F.broadcast if n <= broadcast_rows else (lambda df: df)
-    holds = rows.select("row", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(hint(terms), "term").groupBy("row").agg(F.sort_array(F.collect_set("term")).alias("held"))
+    pairs = staged(rows.select("row", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(hint(terms), "term"), "holds")
+    few = F.broadcast if pairs.count() <= broadcast_rows else (lambda df: df)  # so that texts aren't exchanged for a few rows
+    holds = few(pairs.groupBy("row").agg(F.sort_array(F.collect_set("term")).alias("held")))
     pattern = F.concat(F.lit(r"(?i)(?u)(?<!\p{L})(?:"), F.array_join("held", "|"), F.lit(r")(?!\p{L})"))
     joined = rows.join(holds, "row", "left")
     free = F.filter(matches(F.col("text"), "term", pattern), lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
