@@ -57,6 +57,11 @@ def drop_staged(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df (staged: its count is cheap; a few narrow columns) with a broadcast hint if it has no more rows than that."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A few driver-side rows as a local relation (JSON text, parsed by Spark; no RDD)."""
     import json

@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamellar.llm.common import components, staged, text_batches
+from lamellar.llm.common import broadcast_if_small, components, staged, text_batches
 
 EVEN = 0x5555555555555555
 ROW, ID = "__lamellar_row", "__lamellar_id"
@@ -109,7 +109,7 @@ def near_duplicates(fps: DataFrame, cell_limit: int = 32) -> DataFrame:
     return fps.join(of, "fp")
 
 
-def word_fingerprints(text: str | None, kinds: int, bits: int = 48) -> list[int]:
+def word_fingerprints(text: str | None, kinds: int, bits: int = 56) -> list[int]:
     """Fingerprints over the distinct words, each kind with hashes of its own."""
     import numpy as np
     from xxhash import xxh64_digest
@@ -135,9 +135,10 @@ def jaccard_at_least(a: str, b: str, width: int, similarity: float) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text ids whose shingle sets are similar enough. texts: id, text, any number of equal rows."""
+    """The pairs (a, b) of text ids whose shingle sets are similar enough. texts: id, row, text; one row of each needed id is read."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = staged(texts.join(needed, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "needed")
+    one = texts.groupBy("id").agg(F.min("row").alias("row")).join(needed, "id", "left_semi").select("row")
+    texts = staged(texts.join(broadcast_if_small(staged(one, "one")), "row", "left_semi").select("id", "text"), "needed")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def test(batches):
@@ -153,10 +154,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return both.mapInArrow(test, "a long, b long")
 
 
-def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, kinds: int = 6, bits: int = 48, cell_limit: int = 32) -> DataFrame:
+def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, kinds: int = 8, bits: int = 56, cell_limit: int = 32) -> DataFrame:
     """Groups of near copies: Jaccard similarity of the sets of `width`-word shingles of at least `similarity`. Staged rows (id, root).
 
-    texts: id (the text's hash), text; equal rows may repeat. SimHash of shingles moves about ten bits at a similarity of 0.8, too far for a grid;
+    texts (staged): row (unique), id (the text's hash), text. SimHash of shingles moves about ten bits at a similarity of 0.8, too far for a grid;
     that of the distinct words moves about three of 64. So candidates are pairs at two bits or fewer in one of `kinds` word fingerprints of
     `bits` bits, by the same embedding and grid, and each link is verified on the shingle sets. First every text is compared with the smallest of its candidate
     component; then those pairs are compared of which one text wasn't tied so: other pairs are in one group already.
@@ -187,12 +188,12 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """docs without near copies: of each group the row of the smallest doc_id stays (of equal ones, any one)."""
     fields = docs.columns
     rows = staged(docs.withColumns({ROW: F.monotonically_increasing_id(), ID: F.xxhash64(F.coalesce("text", F.lit("")))}), "rows")
-    groups = near_copies(rows.select(F.col(ID).alias("id"), "text"), **kw)
+    groups = near_copies(rows.select(F.col(ROW).alias("row"), F.col(ID).alias("id"), "text"), **kw)
     keys = rows.select(ROW, ID, "doc_id").join(groups, F.col(ID) == F.col("id"), "left").select(ROW, "doc_id", F.coalesce("root", ID).alias("g"))
     keys = staged(keys, "keys")
     first = keys.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("m")).select("m." + ROW)
-    gone = keys.select(ROW).join(first, ROW, "left_anti")
-    return rows.join(gone, ROW, "left_anti").select(*fields)
+    gone = staged(keys.select(ROW).join(first, ROW, "left_anti"), "gone")
+    return rows.join(broadcast_if_small(gone), ROW, "left_anti").select(*fields)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
