@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamellar.llm.common import broadcast_if_small, components, staged, text_batches
+from lamellar.llm.common import broadcast_if_small, components, drop_staged, staged, text_batches
 
 EVEN = 0x5555555555555555
 ROW, ID = "__lamellar_row", "__lamellar_id"
@@ -109,23 +109,64 @@ def near_duplicates(fps: DataFrame, cell_limit: int = 32) -> DataFrame:
     return fps.join(of, "fp")
 
 
-def word_fingerprints(text: str | None, kinds: int, bits: int = 56) -> list[int]:
-    """Fingerprints over the distinct words, each kind with hashes of its own."""
+def shingle_hashes(text: str | None, width: int):
+    """The distinct shingles' hashes in rising order; a text without a word has one shingle, the empty one."""
     import numpy as np
     from xxhash import xxh64_digest
 
-    words = list(set((text or "").encode().lower().split()))
-    if not words:
-        return [0] * kinds
-    h, out = np.frombuffer(b"".join([xxh64_digest(w, 42) for w in words]), ">u8").astype(np.uint64), []
-    for k in range(kinds):
-        z = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))  # the splitmix64 finaliser
-        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        z = (z ^ z >> np.uint64(31)).astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones = sum(np.unpackbits(z[lo : lo + 4096], axis=1).sum(0, dtype=np.int32) for lo in range(0, len(z), 4096))
-        out.append(signed(int.from_bytes(np.packbits(ones * 2 > len(z)).tobytes(), "big") & (1 << bits) - 1))
-    return out
+    found = set().union(*shingles(text, width)) or {b""}
+    return np.unique(np.frombuffer(b"".join([xxh64_digest(x, 42) for x in found]), ">i8").astype(np.int64))
+
+
+def frequent_shingles(texts: DataFrame, width: int, share: int = 16, least: int = 3, most: int = 1 << 17) -> tuple:
+    """Hashes (sorted) and ranks from 1 of shingles that are frequent in a share of the texts. Only the order of shingles depends on them, no result does."""
+    import numpy as np
+
+    def spell(batches):
+        import pyarrow as pa
+
+        for _, some in text_batches(batches):
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_hashes(t, width) for t in some]))], ["h"])
+
+    some = texts.where(F.pmod("id", F.lit(share)) == 0).select("id", "text").mapInArrow(spell, "h long")
+    top = some.groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).toArrow()
+    h, n = top.column("h").to_numpy(), top.column("count").to_numpy()
+    ranks = np.empty(len(h), np.int64)
+    ranks[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], ranks[order]
+
+
+def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Rows token, id, n, pos, typical: the first of each text's n shingles in one order for all texts, rare ones first. Texts of the similarity share one.
+
+    `typical` is the number per million of the text's shingles that are frequent.
+    """
+    frequent, ranks = frequent_shingles(texts, width)
+
+    def cut(batches):
+        import math
+
+        import numpy as np
+        import pyarrow as pa
+
+        for part, some in text_batches(batches):
+            out = []
+            for i, t in zip(part.column(0).to_pylist(), some, strict=True):
+                h = shingle_hashes(t, width)
+                rank = np.zeros(len(h), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                    rank = np.where(frequent[at] == h, ranks[at], 0)
+                k = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
+                first = h[np.argsort(rank, kind="stable")][:k]
+                k = len(first)
+                out.append((first, np.full(k, i, np.int64), np.full(k, len(h), np.int32), np.arange(k, dtype=np.int32), np.full(k, (rank > 0).sum() * 1_000_000 // len(h), np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "id", "n", "pos", "typical"])
+
+    return texts.select("id", "text").mapInArrow(cut, "token long, id long, n int, pos int, typical int")
 
 
 def jaccard_at_least(a: str, b: str, width: int, similarity: float) -> bool:
@@ -154,34 +195,55 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return both.mapInArrow(test, "a long, b long")
 
 
-def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, kinds: int = 8, bits: int = 56, cell_limit: int = 32) -> DataFrame:
+def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, cell_limit: int = 32, rounds: int = 3) -> DataFrame:
     """Groups of near copies: Jaccard similarity of the sets of `width`-word shingles of at least `similarity`. Staged rows (id, root).
 
-    texts (staged): row (unique), id (the text's hash), text. SimHash of shingles moves about ten bits at a similarity of 0.8, too far for a grid;
-    that of the distinct words moves about three of 64. So candidates are pairs at two bits or fewer in one of `kinds` word fingerprints of
-    `bits` bits, by the same embedding and grid, and each link is verified on the shingle sets. First every text is compared with the smallest of its candidate
-    component; then those pairs are compared of which one text wasn't tied so: other pairs are in one group already.
+    texts (staged): row (unique), id (the text's hash), text. Candidates are complete: with all shingles in one order, two texts of the similarity
+    share one among the first n - similarity * n + 1 of each, and from the first that they share enough must be left in both. Each candidate is
+    verified on the shingle sets. Texts with a shingle in common are a cell. First each cell's most typical text is compared with its others; up to
+    `rounds` times more, cells of over `cell_limit` texts that aren't in one group yet get another centre. Then all candidates are compared
+    whose texts aren't in one group: those of a cell's largest group with the cell's other texts, and these with each other.
     """
-
-    def measure(batches):
-        import pyarrow as pa
-
-        for part, some in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([word_fingerprints(t, kinds, bits) for t in some], pa.list_(pa.int64()))], ["id", "fps"])
-
-    fps = staged(texts.select("id", "text").mapInArrow(measure, "id long, fps array<long>"), "words").select("id", F.posexplode("fps").alias("t", "fp")).distinct()
-    points = staged(fps.groupBy("t", "fp").agg(F.min("id").alias("id")), "points")
-    same = fps.join(points.withColumnRenamed("id", "b"), ["t", "fp"]).where("id <> b").select(F.col("id").alias("a"), "b")
-    name = lambda x: points.select("t", F.col("fp").alias(x), F.col("id").alias(f"i{x}"))
-    tied = links(points.select("t", "fp"), cell_limit, bits).join(name("a"), ["t", "a"]).join(name("b"), ["t", "b"]).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    pairs = staged(same.union(tied).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    roots = staged(components(pairs, "candidates"), "roots")
-    direct = staged(verified(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), texts, width, similarity), "direct")
-    done = staged(direct.select("a").union(roots.select("root")).distinct().select(F.col("a").alias("id"), F.lit(True).alias("done")), "done")
-    ties = lambda x: done.select(F.col("id").alias(x), F.col("done").alias(f"d{x}"))
-    open_ = pairs.join(ties("a"), "a", "left").join(ties("b"), "b", "left").where("da is null or db is null").select("a", "b").join(direct, ["a", "b"], "left_anti")
-    others = staged(verified(staged(open_, "open"), texts, width, similarity), "others")
-    return staged(components(direct.union(others), "groups").select(F.col("node").alias("id"), "root"), "near")
+    keep, t = ["token", "id", "n", "pos", "typical"], similarity / (1 + similarity)
+    copies = texts.select("id", "row").join(texts.groupBy("id").agg(F.min("row").alias("first")), "id").where("row > first").select("row")
+    once = texts.join(broadcast_if_small(staged(copies, "copies")), "row", "left_anti")
+    tokens = staged(prefixes(once, width, similarity), "tokens")
+    sizes = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    cells = staged(tokens.join(sizes, "token").withColumn("root", F.col("id")), "cells")
+    drop_staged(tokens.sparkSession, tokens)
+    ties = tried = None
+
+    def compared(some: DataFrame, others: DataFrame) -> DataFrame:
+        """The pairs of two tables of cell members that may reach the similarity and aren't in one group; verified and added to the ties."""
+        nonlocal ties, tried
+        a, b = (x.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "pos", "root"))) for x, k in ((some, "a"), (others, "b")))
+        left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        near = a.join(b, "token").where((F.col("root_a") != F.col("root_b")) & (left >= t * (F.col("n_a") + F.col("n_b")) - 1e-6))
+        pairs = near.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        good = staged(verified(pairs, texts, width, similarity), "ties")
+        ties, tried = (good, pairs) if ties is None else (ties.union(good), tried.union(pairs))
+        return components(ties, "groups").select(F.col("node").alias("id"), "root")
+
+    def unsettled(groups: DataFrame) -> DataFrame:
+        """The cells with more than one group, with `main`, the group of most of their texts."""
+        now = cells.select(*keep, "size").join(broadcast_if_small(staged(groups, "roots")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        main = now.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("token", "main")
+        return staged(now.join(main, "token"), "open")
+
+    def centres(of: DataFrame, by: list) -> DataFrame:
+        return of.groupBy("token").agg(F.max_by(F.struct("id", "n", "pos", "root"), F.struct(*by)).alias("c")).select("token", "c.*")
+
+    groups = compared(centres(cells, ["typical", "id"]), cells)
+    cells = unsettled(groups)
+    for k in range(rounds):
+        hot = cells.where(F.col("size") > cell_limit)
+        if hot.isEmpty():
+            break
+        groups = compared(centres(hot.where("root <> main"), [F.xxhash64("id", F.lit(k)), "id"]), hot)
+        cells = unsettled(groups)
+    groups = compared(cells.where("root <> main"), cells)
+    return staged(groups, "near")
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:

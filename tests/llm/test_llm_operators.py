@@ -131,6 +131,49 @@ def test_near_copies_are_groups(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
 
 
+def brute_near(texts, width=5, similarity=0.8):
+    """Group numbers of texts by all pairs of shingle sets."""
+    sets = [set().union(*simhash.shingles(t, width)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def near_groups(spark, texts, **kw):
+    df = simhash.staged(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, id long, text string"), "t")
+    got = {r.id: r.root for r in simhash.near_copies(df, **kw).collect()}
+    return [got.get(i, i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_near_copies_of_a_hub(spark, rounds):
+    """Variants close to a hub that isn't the smallest id, mostly not to each other; variants of variants, close to one of them only."""
+    r, hub = random.Random(21), prose(21, 200).split()
+
+    def varied(words, n):
+        words = list(words)
+        for i in r.sample(range(len(words)), n):
+            words[i] = f"z{r.randrange(10**6)}"
+        return words
+
+    first = [varied(hub, r.choice((2, 3, 4, 5))) for _ in range(250)]
+    second = [varied(w, r.choice((3, 4, 5))) for w in first[:80]]
+    texts = [" ".join(w) for w in [*first[:125], *second, hub, *first[125:]]]
+    want = brute_near(texts)
+    assert 1 < len(set(want)) < 150 and near_groups(spark, texts, rounds=rounds) == want
+
+
 # ---- 2
 
 
