@@ -2,8 +2,9 @@
 
 A line's quote level is the number of `>` at its start (white space between them is skipped). A passage is a run of lines of one level. Passages
 of level 1 and more are normalised (marks dropped, white space single, lower case, ends trimmed) and hashed. A message's own text (level 0) is
-hashed whole, by passage and by line. A quoted passage is linked to the message of its conversation, in an earlier turn, whose own text has the
-hash; the latest such turn, with the passage of the lowest level, is the parent. Messages without a link are roots.
+hashed whole, by passage, by paragraph and by line, a quoted passage whole, by paragraph and by line. A message is linked to the one of its
+conversation, in an earlier turn, whose own text has such a hash: the lowest level first, then whole passages before paragraphs before lines,
+then the latest such turn. Messages without a link are roots.
 Reply order is depth first: a message, then the replies to it by turn; roots by turn. Parents' paths are doubled until no row changes, so the
 rounds are the logarithm of the depth of replies; nothing gathers a conversation into one row.
 
@@ -26,8 +27,16 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def pieces(run: Column) -> Column:
+    """The distinct normalised pieces (part, text) of a run of lines: part 0 is the whole, 1 its paragraphs, 2 its lines; each text has its least part."""
+    whole, paragraphs, lines = F.array(normalised(run)), F.transform(F.split(run, r"\n\s*\n"), normalised), F.transform(F.split(run, r"\n"), normalised)
+    of = lambda part, texts: F.transform(texts, lambda x: F.struct(F.lit(part).alias("part"), x.alias("text")))
+    every = F.concat(of(0, whole), of(1, F.array_except(paragraphs, whole)), of(2, F.array_except(lines, F.concat(whole, paragraphs))))
+    return F.filter(every, lambda p: p["text"] != "")
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """Each message with row, body (text without quotes) and quotes: an array of (level, hash) of its quoted passages."""
+    """Each message with row, body (text without quotes) quotes: (level, part, hash) of the pieces of its quoted passages, and passages: the pieces of its own runs beside quotes."""
     lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), r"[^>]", ""))
     marked = F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("line")))
@@ -42,9 +51,10 @@ def parsed(messages: DataFrame) -> DataFrame:
     own = F.filter("runs", lambda r: r["level"] == 0)
     unquoted = F.array_join(F.transform(own, lambda r: F.regexp_replace(r["line"], r"(?m)^.*wrote:\s*$", "")), "\n")
     body = F.when(quoted, F.regexp_replace(F.regexp_replace(unquoted, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).otherwise(F.coalesce("text", F.lit("")))
-    hashes = F.filter(F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), normalised(r["line"]).alias("text"))), lambda q: q["text"] != "")
+    hashes = F.flatten(F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r: F.transform(pieces(r["line"]), lambda p: F.struct(r["level"].alias("level"), p["part"].alias("part"), F.xxhash64(p["text"]).alias("hash")))))
+    said = F.flatten(F.transform(own, lambda r: F.transform(pieces(F.regexp_replace(r["line"], r"(?m)^.*wrote:\s*$", "")), lambda p: p["text"])))
     out = messages.select("conv_id", "turn", "role", "text").withColumn("runs", runs).withColumn("body", body)
-    return out.withColumn("quotes", F.transform(hashes, lambda q: F.struct(q["level"].alias("level"), F.xxhash64(q["text"]).alias("hash")))).drop("runs")
+    return out.withColumn("quotes", hashes).withColumn("passages", F.when(quoted, F.array_distinct(said))).drop("runs")
 
 
 def conversation_key() -> Column:
@@ -58,20 +68,20 @@ def parents(messages: DataFrame, block: int = 1000) -> DataFrame:
     that is said and quoted countless times makes no pairs, and no task holds all of it.
     """
     asked = messages.where((F.size("quotes") > 0) & F.col("turn").isNotNull()).select(conversation_key().alias("c"), "row", F.col("turn").alias("at"), F.explode("quotes").alias("q"))
-    asked = staged(asked.select("c", F.col("q.hash").alias("h"), "at", "row", "q.level"), "quotes")
-    pieces = F.array_distinct(F.concat(F.array(normalised(F.col("body"))), F.transform(F.split("body", r"\n\s*\n"), normalised), F.transform(F.split("body", r"\n"), normalised)))
+    asked = staged(asked.select("c", F.col("q.hash").alias("h"), "at", "row", "q.level", "q.part"), "quotes")
+    pieces = F.array_distinct(F.concat(F.array(normalised(F.col("body"))), F.transform(F.split("body", r"\n\s*\n"), normalised), F.transform(F.split("body", r"\n"), normalised), F.coalesce("passages", F.array().cast("array<string>"))))
     own = messages.where("turn is not null").withColumn("c", conversation_key()).join(asked.select("c").distinct(), "c", "left_semi")
     own = own.select("c", F.col("turn").alias("at"), "row", F.explode(F.filter(pieces, lambda x: x != "")).alias("piece")).select("c", F.xxhash64("piece").alias("h"), "at", "row")
     own = own.join(asked.select("c", "h").distinct(), ["c", "h"], "left_semi")
     said = own.groupBy("c", "h", "at").agg(F.min("row").alias("parent")).select("c", "h", "at", F.struct(F.col("at").alias("said"), "parent").alias("s"))
     none = F.lit(None).cast("struct<said:bigint,parent:bigint>")
-    both = said.select("*", F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("int").alias("level"), F.lit(1).alias("kind")).union(asked.select("c", "h", "at", none.alias("s"), "row", "level", F.lit(0).alias("kind")))
+    both = said.select("*", F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("part"), F.lit(1).alias("kind")).union(asked.select("c", "h", "at", none.alias("s"), "row", "level", "part", F.lit(0).alias("kind")))
     both = staged(both.withColumn("block", F.floor(F.col("at") / block)), "turns")
     upto = Window.partitionBy("c", "h", "block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy("c", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = both.groupBy("c", "h", "block").agg(F.max("s").alias("m")).select("c", "h", "block", F.max("m").over(earlier).alias("before"))
-    hit = both.withColumn("within", F.max("s").over(upto)).where("kind = 0").join(blocks, ["c", "h", "block"]).select("row", "level", F.coalesce("within", "before").alias("s")).where("s is not null")
-    return hit.groupBy("row").agg(F.min_by("s.parent", F.struct(F.col("level"), -F.col("s.said"))).alias("parent"))
+    hit = both.withColumn("within", F.max("s").over(upto)).where("kind = 0").join(blocks, ["c", "h", "block"]).select("row", "level", "part", F.coalesce("within", "before").alias("s")).where("s is not null")
+    return hit.groupBy("row").agg(F.min_by("s.parent", F.struct(F.col("level"), F.col("part"), -F.col("s.said"))).alias("parent"))
 
 
 def reply_order(messages: DataFrame, links: DataFrame) -> DataFrame:

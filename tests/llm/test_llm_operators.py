@@ -363,6 +363,17 @@ def test_quotations_across_blocks(spark):
         assert [x.place for x in sorted(got, key=lambda x: x.path)] == list(range(120))
 
 
+def test_partial_quotes_and_replies_between_quotes(spark):
+    talk = [
+        (1, 0, "p one\n\np two\n\np three"), (1, 1, "> p two\n>\n> p three\nyes"),
+        (2, 0, "l one\nl two\nl three"), (2, 1, "> l two\n> l three\nyes"),
+        (3, 0, "first"), (3, 1, "> first\nreply a\nreply b\n> first\nother"), (3, 2, "reply b"), (3, 3, "> reply a\n> reply b\nthanks"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in talk], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.parent_turn for r in quotes.conversations(df).collect()}
+    assert got == {(1, 0): None, (1, 1): 0, (2, 0): None, (2, 1): 0, (3, 0): None, (3, 1): 0, (3, 2): None, (3, 3): 1}
+
+
 # ---- 7
 
 
