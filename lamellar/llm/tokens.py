@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, with a cache of pieces.
 
 A byte-level BPE never lets a token cross from a non-space character into a following space, so a text may be cut before each such space
-and the pieces encoded apart; equal pieces (words) are encoded once. `test_tokens.py` compares with whole-text encoding.
+and the pieces encoded apart; equal pieces (words) are encoded once. Tests compare with whole-text encoding by the library. A text that holds one
+of the vocabulary's added tokens (such as `<|endoftext|>`) is encoded whole, as the library does it: added tokens are single ids there.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self.whole, self.added = tokenizer, re.compile("|".join(map(re.escape, added))) if added else None
         self.bare, self.spaced = _Pieces(tokenizer, ""), _Pieces(tokenizer, " ")
         self.bare.tail = self.spaced.tail = _Pieces(tokenizer, "").__getitem__
         self.newline = self.bare["\n"]
@@ -66,6 +68,9 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return pack(f"<{len(ids)}I", *ids)
         bare, spaced = self.bare, self.spaced.__getitem__
         if _PAIR.search(text):
             first, *rest = _CUT.split(text)
