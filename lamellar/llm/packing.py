@@ -1,25 +1,28 @@
-"""Best-fit packing of token sequences, bulk-synchronously.
+"""Best-fit packing of token sequences in bulk-synchronous supersteps.
 
 A document is its ids and an end id; only longer ones than `capacity` are cut, into pieces of `capacity`, the first piece shorter.
-Documents and gaps are range-sorted by size. There are only `capacity` sizes, so the sorted order is held as runs: how many documents have a
-length, which sequences have a gap. A superstep takes the documents of one length, the longest first: a sweep over the gaps finds their
-successors (the smallest gaps that hold them), the documents of equal rank and gap are matched (the k-th document takes the k-th gap, so no two
-want the same), the gaps shrink, new sequences are opened for those left. The runs are bounded by `capacity`, whatever the number of documents.
-Ranks within a length are prefix sums over (task, length) counts, then the plan's runs are looked up by (length, rank) on the executors.
+Pieces are range-sorted by length: each has a rank within its length, by prefix sums over (task, length) counts. Gaps are what sequences have left;
+each has a rank within its size. A superstep sweeps over the sizes from the largest: a piece's successor is the smallest gap that holds it and
+that no longer piece has taken. Conflicts are resolved by rank: the k-th piece of a length takes the k-th gap (a gap that holds several pieces
+of that length takes them all). The sweep works on the numbers of pieces and gaps by size, at most `capacity` each, whatever the number of documents,
+and gives intervals of ranks. The gaps, a distributed table, are joined with these: that matches their ranks with the pieces' ranks, shrinks them
+and gives them new ranks. When no piece fits a gap, sequences are opened: one for each piece of over half the capacity, else for three quarters
+of what the rest needs at least (all of it from superstep 24 on). Supersteps end when all pieces have a gap: some 20 on real lengths, as they grow with
+the number of different lengths in a sequence, not with the number of documents. At last pieces and gaps meet in one join by length and rank.
 
 Null text: as empty (the end id alone). Null doc_id and equal rows: each row is a document of its own. An empty table gives no rows.
-Other columns of the input aren't read.
+Very long texts: cut into as many pieces as needed; a text is held once. Other columns of the input aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamellar.llm.common import staged, text_batches
+from lamellar.llm.common import small_table, staged, text_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, row long"
 
@@ -50,69 +53,95 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
     return staged(docs.select("doc_id", "text").mapInArrow(cut, PIECES), "pieces")
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """The plan: (length, first rank, end rank, first sequence, offset): rank first + i of that length is in sequence first sequence + i."""
-    plan: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, end)
-    sizes: list[int] = []  # gaps there are, sorted
-    opened = 0
-
-    def shrink(gap: int, first: int, end: int) -> None:
-        if gap > 0:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append((first, end))
-
-    for length in sorted((n for n, c in counts.items() if c), reverse=True):
-        rank, total = 0, counts[length]
-        at = bisect_left(sizes, length)
-        while rank < total and at < len(sizes):  # the sweep: successors in order of size
-            gap = sizes[at]
-            first, end = gaps[gap].pop()
-            used = min(end - first, total - rank)
-            plan.append((length, rank, rank + used, first, capacity - gap))
-            rank += used
-            if used < end - first:
-                gaps[gap].append((first + used, end))
-            if not gaps[gap]:
-                del gaps[gap], sizes[at]
-            shrink(gap - length, first, first + used)
-            at = bisect_left(sizes, length)
-        each = capacity // length
-        full, rest = divmod(total - rank, each)
-        for new, copies in ((full, each), (1 if rest else 0, rest)):
-            for i in range(copies if new else 0):
-                plan.append((length, rank, rank + new, opened, i * length))
-                rank += new
-            if new:
-                shrink(capacity - copies * length, opened, opened + new)
-                opened += new
-    return plan
+def sweep(pieces: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """One superstep's matches: pieces and gaps by size -> (size, gaps, length, pieces, copies in each gap), in the order of their ranks."""
+    found, free = [], []  # free: gaps not taken yet, the smallest size last
+    for size in sorted(pieces.keys() | gaps.keys(), reverse=True):
+        if gaps.get(size):
+            free.append([size, gaps[size]])
+        left = pieces.get(size, 0)
+        while left and free:
+            gap, n = free[-1]
+            copies = gap // size
+            used = min(n, -(-left // copies))
+            taken = min(left, used * copies)
+            found.append((gap, used, size, taken, copies))
+            left -= taken
+            free[-1][1] -= used
+            if not free[-1][1]:
+                free.pop()
+    return found
+
+
+def opened_for(pieces: dict[int, int], capacity: int, step: int) -> int:
+    """How many sequences to open when no piece fits."""
+    large = sum(n for length, n in pieces.items() if 2 * length > capacity)
+    need = sum(length * n for length, n in pieces.items())
+    return large or -(-need * (3 if step < 24 else 4) // (4 * capacity))
+
+
+def supersteps(counts: dict[int, int], capacity: int):
+    """For each superstep the number of sequences opened and its plan: intervals [low, high) of ranks of gaps of a size, each taking `copies` pieces of `length`
+    from rank `first` on, and the size and rank that they have then. Sizes that hold no piece any more are left out, so those gaps are dropped."""
+    pieces, gaps, done, step = {k: v for k, v in counts.items() if v}, Counter(), Counter(), 0
+    while pieces:
+        new, matches = 0, sweep(pieces, gaps)
+        if not matches:
+            new = opened_for(pieces, capacity, step)
+            gaps[capacity] += new
+            matches = sweep(pieces, gaps)
+        plan, at, then = [], Counter(), Counter()
+
+        def put(size, n, length, copies, first):
+            if n:
+                left = size - copies * length  # noqa: B023
+                plan.append({"size": size, "low": at[size], "high": at[size] + n, "length": length, "copies": copies, "first": first, "left": left, "rank_left": then[left]})
+                at[size] += n
+                then[left] += n
+
+        for size, n, length, taken, copies in matches:
+            full, rest = divmod(taken, copies)
+            put(size, full, length, copies, done[length])
+            put(size, 1 if rest else 0, length, rest, done[length] + full * copies)
+            done[length] += taken
+            pieces[length] -= taken
+        pieces = {k: v for k, v in pieces.items() if v}
+        for size, n in list(gaps.items()):
+            put(size, n - at[size], 0, 0, 0)
+        gaps = Counter({size: n for size, n in then.items() if size >= min(pieces, default=capacity + 1)})
+        yield new, plan
+        step += 1
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """pieces (staged) with sequence_id and offset."""
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    plan = sorted(best_fit_runs(counts, capacity))
+    spark = pieces.sparkSession
     offset = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = pieces.groupBy("task", "length").count().select("task", "length", F.coalesce(F.sum("count").over(offset), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("task", "length").orderBy("row", "piece"))
-    ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("before") + within - 1)
-
-    def place(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        runs = np.array(plan, dtype=np.int64).reshape(-1, 5)
-        keys = runs[:, 0] * (1 << 48) + runs[:, 1]
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            run = runs[np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], [*b.schema.names, "sequence_id", "offset"])
-
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, sequence_id long, offset long").drop("rank")
+    ranked = pieces.join(before, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + within - 1).alias("rank"))
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
+    fields = "size:bigint,low:bigint,high:bigint,length:bigint,copies:bigint,first:bigint,left:bigint,rank_left:bigint"
+    gaps, taken, sequences = None, [], 0
+    for new, plan in supersteps(counts, capacity):
+        # a gap: sequence_id, size, rank in its size
+        fresh = spark.range(new).select((F.col("id") + sequences).alias("sequence_id"), F.lit(capacity).cast("long").alias("size"), F.col("id").alias("rank"))
+        sequences += new
+        kept = None if gaps is None else gaps.select("sequence_id", F.col("left").alias("size"), F.col("rank_left").alias("rank"))
+        now = fresh if kept is None else kept.union(fresh) if new else kept
+        steps = F.broadcast(small_table(spark, plan, fields))  # intervals of sizes up to capacity
+        i = F.col("rank") - F.col("low")
+        now = now.join(steps, "size").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+        gaps = staged(now.select("sequence_id", "size", "length", "copies", (F.col("first") + i * F.col("copies")).alias("first"), "left", (F.col("rank_left") + i).alias("rank_left")), "gaps")
+        taken.append(gaps.where("copies > 0").select("sequence_id", "size", "length", "copies", "first"))
+    if not taken:
+        return ranked.drop("rank").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    places = taken[0]
+    for t in taken[1:]:
+        places = places.union(t)
+    places = places.select("sequence_id", "size", "length", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("k"))
+    places = places.select("length", (F.col("first") + F.col("k")).alias("rank"), "sequence_id", (F.lit(capacity) - F.col("size") + F.col("k") * F.col("length")).alias("offset"))
+    return ranked.join(places, ["length", "rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
