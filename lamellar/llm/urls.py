@@ -45,11 +45,11 @@ def folded(url: Column) -> Column:
     return F.concat(F.lit("^"), text)
 
 
-def contexts(url: Column, order: int) -> Column:
-    """For each character the gram of it and up to `order` before it."""
-    at = F.sequence(F.lit(1), F.length(url))
+def contexts(text: Column, order: int) -> Column:
+    """For each character the gram of it and up to `order` before it. The text is cut to characters once (bound by the outer lambda), so time is linear."""
     start = lambda i: F.greatest(i - order, F.lit(1))
-    return F.transform(at, lambda i: F.substring(url, start(i), i - start(i) + 1))
+    grams = lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.array_join(F.slice(chars, start(i), i - start(i) + 1), ""))
+    return F.flatten(F.transform(F.array(F.filter(F.split(text, ""), lambda x: x != "")), grams))
 
 
 def train(ruled: DataFrame, order: int = 3, least_context: int = 2) -> DataFrame:
@@ -79,18 +79,18 @@ def train(ruled: DataFrame, order: int = 3, least_context: int = 2) -> DataFrame
 
 
 def scores(urls: DataFrame, model: DataFrame, order: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
-    """urls: distinct url. url, score: the mean log ratio of its characters."""
+    """urls: u (unique), url. u, score: the mean log ratio of its characters."""
     hint = F.broadcast if model.count() <= broadcast_rows else (lambda df: df)
-    # a URL grows to a row for each character, so small inputs are spread first
-    urls = urls.select("url").repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
-    at = urls.select("url", F.posexplode(contexts(folded(F.col("url")), order)).alias("i", "g"))
-    at = at.groupBy("url", "g").agg(F.count("*").alias("times"))
+    # a URL grows to a row for each character, so small inputs are spread first; rows carry its number, not the URL
+    urls = urls.select("u", "url").repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u")
+    at = urls.select("u", F.explode(contexts(folded(F.col("url")), order)).alias("g"))
+    at = at.groupBy("u", "g").agg(F.count("*").alias("times"))
     best = F.lit(None).cast("double")
     for k in range(1, order + 2):
         at = at.withColumn("s", F.when(F.length("g") >= k, F.right("g", F.lit(k))))
         at = at.join(hint(model.select(F.col("g").alias("s"), F.col("llr").alias(f"llr{k}"))), "s", "left").drop("s")
         best = F.coalesce(F.col(f"llr{k}"), best)
-    return at.groupBy("url").agg((F.sum(F.coalesce(best, F.lit(0.0)) * F.col("times")) / F.sum("times")).alias("score"))
+    return at.groupBy("u").agg((F.sum(F.coalesce(best, F.lit(0.0)) * F.col("times")) / F.sum("times")).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -108,10 +108,10 @@ def url_verdicts(pages: DataFrame, rules=RULES, order: int = 3, fold: int = 5) -
     host, path = split_url(F.col("url"))
     urls = pages.where("url is not null").groupBy("url").agg(F.count("*").alias("n")).withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    urls = staged(urls.withColumns({"rule": rule, "ruled": verdict}), "urls")
+    urls = staged(urls.withColumns({"rule": rule, "ruled": verdict, "u": F.monotonically_increasing_id()}), "urls")
     tested = F.crc32("url") % fold == 0
     model = train(urls.where(F.col("ruled").isNotNull() & ~tested).select(folded(F.col("url")).alias("text"), F.col("ruled").alias("verdict"), "n"), order)
-    scored = staged(urls.join(scores(urls.select("url"), model, order), "url", "left"), "scored")
+    scored = staged(urls.join(scores(urls, model, order), "u", "left"), "scored")
     counts = {(r[0], r[1]): r[2] for r in urls.where("ruled is not null").groupBy("ruled", tested.alias("t")).count().collect()}
     both = all(counts.get((c, t)) for c in ("allow", "block") for t in (True, False))
     threshold = calibrate(scored.where(F.col("ruled").isNotNull() & tested).select("score", F.col("ruled").alias("verdict"), "n")) if both else None
