@@ -1,22 +1,22 @@
-"""SimHash near-duplicates by a segment-popcount embedding.
+"""SimHash near-duplicates by a segment-popcount embedding and a grid range-join.
 
-A fingerprint's 64 bits are 32 segments of two bits. `embedding` keeps each segment's number of one bits (as 00, 01 or 11), so the Manhattan
-distance of two embeddings is the bit count of their difference, and never more than the fingerprints' Hamming distance. The grid: segments
-fall into five groups; points at Manhattan distance 2 or less agree on three whole groups at least, so a fingerprint lies in the ten cells
-that three groups make. Pairs that share a cell are filtered by Manhattan distance, then verified on the bits.
-
-A cell of over `cell_limit` fingerprints isn't joined with itself. Its fingerprints are linked through points at one bit from both: two
-fingerprints differ in two bits or fewer exactly if the sets of a fingerprint and its 64 neighbours meet. That is 65 rows for each such
-fingerprint, whatever the size of the cell, and no link is lost. Equal fingerprints are one point, so copies make no pairs.
+A fingerprint's 64 bits are 32 segments of two bits; its point has 32 coordinates, the segments' numbers of one bits (0 to 2). The Manhattan
+distance of two points is never more than the fingerprints' Hamming distance, so links of two bits or fewer lie within Manhattan distance 2.
+The grid has a cell for each point of whole coordinates. A fingerprint goes to the cell of its point and to the cells one step from it (49 on
+average); two points within distance 2 always meet in a cell, others never do. Two-bit segments part best: unrelated fingerprints come within
+distance 2 with a chance of 2e-11, with segments of eight bits it would be 2e-4.
+Fingerprints that meet another one in a cell are verified exactly: two differ in two bits or fewer if and only if one bit string is at most one
+bit away from both, so all that share such a string are tied to the smallest of them. The rule is the same for every cell, takes 65 rows for a
+fingerprint that has met another, whatever the number in a cell, and loses no link. Equal fingerprints are one point, so copies make no pairs.
 
 Null text, empty text or no word: fingerprint zero, linked like any other. Fewer words than a shingle: the whole sequence is one shingle.
 Null doc_id: linked, never the smallest id; a component without any id gets null. Equal rows: each gets its row. An empty table gives no rows.
+Very long texts: shingles are taken some 65,000 words at a time, so memory follows the text, not its shingles. Of the input's other columns none
+is read by the query, whatever its name; `one_of_each` keeps them all (names that begin with `__lamellar` are its own).
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +30,6 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def cell_masks(bits: int) -> list[int]:
-    """For each three of five groups of segments, the bits of these groups."""
-    n = bits // 2
-    groups = [range(n * g // 5, n * (g + 1) // 5) for g in range(5)]
-    return [sum(3 << 2 * s for g in three for s in groups[g]) for three in combinations(range(5), 3)]
-
-
 def shingles(text: str | None, width: int, most: int = 1 << 16):
     """Lists of up to `most` shingles (bytes) of a text, words joined by single spaces."""
     words = (text or "").encode().lower().split()  # bytes.lower changes A-Z only, bytes.split cuts at ASCII white space only
@@ -76,34 +69,37 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def embedding(fp: Column) -> Column:
+    """The point of a fingerprint: each two-bit segment's count in unary (00, 01, 11), so that Manhattan distance is the bit count of a difference."""
     even, high = F.lit(EVEN), F.shiftrightunsigned(fp, 1)
     return fp.bitwiseOR(high).bitwiseAND(even).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(even), 1))
 
 
-def links(points: DataFrame, cell_limit: int = 32, bits: int = 64) -> DataFrame:
-    """points: distinct (t, fp), t the number of the fingerprint's kind, fp of so many bits. Rows (t, a, b) that tie what pairs at two bits or fewer tie."""
-    cells = points.withColumn("e", embedding(F.col("fp"))).select(
-        "t", "fp", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(signed(m))) for m in cell_masks(bits)))).alias("grid", "cell")
-    )
-    key = ["t", "grid", "cell"]
-    sizes = cells.groupBy(*key).count().where("count > 1")
-    shared = staged(cells.join(sizes, key), "cells")
-    cold = shared.where(F.col("count") <= cell_limit)
-    a, b = (cold.select(*key, F.col("fp").alias(x), F.col("e").alias(f"e{x}")) for x in "ab")
-    pairs = a.join(b, key).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) <= 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
-    hot = shared.where(F.col("count") > cell_limit).select("t", "fp").distinct()
-    near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(bits)))
-    met = hot.select("t", "fp", F.explode(near).alias("point"))
-    centre = met.groupBy("t", "point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "point", "b")
-    stars = met.join(centre, ["t", "point"]).where("fp <> b").select("t", F.col("fp").alias("a"), "b")
-    return pairs.select("t", "a", "b").union(stars)
-
-
-def near_duplicates(fps: DataFrame, cell_limit: int = 32) -> DataFrame:
+def one_bit_away(x: Column) -> Column:
+    return F.array(x, *(x.bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)))
+
+
+def grid_cells(points: DataFrame) -> DataFrame:
+    """points: fp. Rows (cell, fp): the cell of each point and those one step from it, each at most once."""
+    near = points.select("fp", F.explode(one_bit_away(embedding(F.col("fp")))).alias("cell"))
+    lacks = F.shiftrightunsigned("cell", 1).bitwiseAND(F.lit(EVEN)).bitwiseAND(F.bitwise_not("cell"))  # 10 is no count
+    return near.where(lacks == 0).select("cell", "fp")
+
+
+def links(points: DataFrame) -> DataFrame:
+    """points (staged): distinct fp. Rows (a, b) that tie what pairs at two bits or fewer tie."""
+    met = grid_cells(points).groupBy("cell").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("cell")
+    met = staged(met, "met")
+    near = staged(grid_cells(points).join(broadcast_if_small(met), "cell", "left_semi").select("fp").distinct(), "near")
+    at = near.select("fp", F.explode(one_bit_away(F.col("fp"))).alias("point"))
+    centre = at.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("point", "b")
+    return at.join(broadcast_if_small(staged(centre, "centres")), "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+
+
+def near_duplicates(fps: DataFrame) -> DataFrame:
     """fps (staged: doc_id, fp) with component_id, the smallest doc_id that links of two bits or fewer reach."""
     points = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    roots = staged(components(links(points.select(F.lit(0).alias("t"), "fp"), cell_limit).select("a", "b"), "links"), "roots")
-    tied = points.join(roots, points.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = components(links(points.select("fp")), "links")
+    tied = points.join(broadcast_if_small(roots), points.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     of = staged(tied.join(smallest, "root").select("fp", "component_id"), "components")
     return fps.join(of, "fp")
@@ -118,7 +114,7 @@ def shingle_hashes(text: str | None, width: int):
     return np.unique(np.frombuffer(b"".join([xxh64_digest(x, 42) for x in found]), ">i8").astype(np.int64))
 
 
-def frequent_shingles(texts: DataFrame, width: int, share: int = 16, least: int = 3, most: int = 1 << 17) -> tuple:
+def frequent_shingles(texts: DataFrame, width: int, share: int = 16, least: int = 3, most: int = 1 << 20) -> tuple:
     """Hashes (sorted) and ranks from 1 of shingles that are frequent in a share of the texts. Only the order of shingles depends on them, no result does."""
     import numpy as np
 
@@ -138,31 +134,44 @@ def frequent_shingles(texts: DataFrame, width: int, share: int = 16, least: int
     return h[order], ranks[order]
 
 
+def majority_bits(hashes) -> int:
+    """The fingerprint of an array of 64-bit hashes, signed."""
+    import numpy as np
+
+    ones, b = np.zeros(64, np.int64), hashes.astype(">i8").view(np.uint8).reshape(-1, 8)
+    for lo in range(0, len(b), 4096):
+        ones += np.unpackbits(b[lo : lo + 4096], axis=1).sum(0, dtype=np.int32)
+    return signed(int.from_bytes(np.packbits(ones * 2 > len(b)).tobytes(), "big"))
+
+
 def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Rows token, id, n, pos, typical: the first of each text's n shingles in one order for all texts, rare ones first. Texts of the similarity share one.
 
-    `typical` is the number per million of the text's shingles that are frequent.
+    `typical` is the number per million of the text's shingles that are frequent. At pos -1, token is the text's fingerprint.
     """
-    frequent, ranks = frequent_shingles(texts, width)
+    import numpy as np
+
+    spark = texts.sparkSession
+    ordered = spark.sparkContext.broadcast(frequent_shingles(texts, width))
 
     def cut(batches):
         import math
 
-        import numpy as np
         import pyarrow as pa
 
+        frequent, ranks = ordered.value
         for part, some in text_batches(batches):
             out = []
             for i, t in zip(part.column(0).to_pylist(), some, strict=True):
                 h = shingle_hashes(t, width)
-                rank = np.zeros(len(h), np.int64)
+                n, rank = len(h), np.zeros(len(h), np.int64)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
                     rank = np.where(frequent[at] == h, ranks[at], 0)
-                k = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
-                first = h[np.argsort(rank, kind="stable")][:k]
-                k = len(first)
-                out.append((first, np.full(k, i, np.int64), np.full(k, len(h), np.int32), np.arange(k, dtype=np.int32), np.full(k, (rank > 0).sum() * 1_000_000 // len(h), np.int32)))
+                first = h[np.argsort(rank, kind="stable")][: n - math.ceil(similarity * n - 1e-6) + 1]
+                k = len(first) + 1
+                typical = (rank > 0).sum() * 1_000_000 // n
+                out.append((np.append(first, majority_bits(h)), np.full(k, i, np.int64), np.full(k, n, np.int32), np.append(np.arange(k - 1, dtype=np.int32), np.int32(-1)), np.full(k, typical, np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "id", "n", "pos", "typical"])
 
@@ -195,55 +204,75 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return both.mapInArrow(test, "a long, b long")
 
 
-def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, cell_limit: int = 32, rounds: int = 3) -> DataFrame:
+def near_fingerprints(of: DataFrame) -> DataFrame:
+    """of (staged): fp, id. Pairs (a, b) of ids whose fingerprints are linked: each id with the smallest of its fingerprint, and these with each other."""
+    points = staged(of.groupBy("fp").agg(F.min("id").alias("first")), "points")
+    tied = staged(links(points.select("fp")), "links")
+    ends = tied
+    for c in "ab":
+        ends = ends.join(points.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")), c)
+    same = of.join(points, "fp").where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    return same.union(ends.select(F.greatest("first_a", "first_b"), F.least("first_a", "first_b"))).distinct()
+
+
+def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 6) -> DataFrame:
     """Groups of near copies: Jaccard similarity of the sets of `width`-word shingles of at least `similarity`. Staged rows (id, root).
 
-    texts (staged): row (unique), id (the text's hash), text. Candidates are complete: with all shingles in one order, two texts of the similarity
-    share one among the first n - similarity * n + 1 of each, and from the first that they share enough must be left in both. Each candidate is
-    verified on the shingle sets. Texts with a shingle in common are a cell. First each cell's most typical text is compared with its others; up to
-    `rounds` times more, cells of over `cell_limit` texts that aren't in one group yet get another centre. Then all candidates are compared
-    whose texts aren't in one group: those of a cell's largest group with the cell's other texts, and these with each other.
+    texts (staged): row (unique), id (the text's hash), text. SimHash links come first, each verified on the shingle sets. They don't reach far
+    enough (at a similarity of 0.8 some ten of 64 bits differ), so a prefix filter completes them: with all shingles in one order, two texts of the
+    similarity share one among the first n - similarity * n + 1 of each, and from the first that they share enough must be left in both.
+    Texts with such a shingle in common are a cell. Each cell's most typical text is compared with those of other groups than its own, and again
+    with other centres (up to `rounds` times, while that halves the work left). Then all candidates are compared that aren't in one group:
+    those outside a cell's largest group with all of the cell. Candidates are complete, so the groups are those of all pairs.
     """
     keep, t = ["token", "id", "n", "pos", "typical"], similarity / (1 + similarity)
     copies = texts.select("id", "row").join(texts.groupBy("id").agg(F.min("row").alias("first")), "id").where("row > first").select("row")
     once = texts.join(broadcast_if_small(staged(copies, "copies")), "row", "left_anti")
     tokens = staged(prefixes(once, width, similarity), "tokens")
-    sizes = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    cells = staged(tokens.join(sizes, "token").withColumn("root", F.col("id")), "cells")
+    pairs = staged(near_fingerprints(staged(tokens.where("pos < 0").select(F.col("token").alias("fp"), "id"), "fps")), "pairs")
+    ties, tried = staged(verified(pairs, texts, width, similarity), "ties"), pairs
+    in_prefix = tokens.where("pos >= 0")
+    sizes = in_prefix.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    cells = staged(in_prefix.join(sizes.select("token"), "token"), "cells")
     drop_staged(tokens.sparkSession, tokens)
-    ties = tried = None
 
-    def compared(some: DataFrame, others: DataFrame) -> DataFrame:
-        """The pairs of two tables of cell members that may reach the similarity and aren't in one group; verified and added to the ties."""
+    def open_cells() -> DataFrame:
+        """The cells with more than one group, with each row's group and `main`, the group of most of the cell's texts."""
+        nonlocal cells
+        groups = staged(components(ties, "groups"), "roots").withColumnRenamed("node", "id")
+        now = cells.select(*keep).join(broadcast_if_small(groups), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        main = now.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("token", "main")
+        cells = staged(now.join(main, "token"), "open")
+        return groups
+
+    def work_left() -> tuple[int, int]:
+        each = cells.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("others"))
+        r = each.agg(F.sum(F.col("n").cast("double") * F.col("others")), F.sum("n")).first()
+        return r[0] or 0, r[1] or 0
+
+    def compare(some: DataFrame, others: DataFrame) -> None:
+        """Pairs of two tables of cell members that may reach the similarity and aren't in one group are verified and added to the ties."""
         nonlocal ties, tried
         a, b = (x.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "pos", "root"))) for x, k in ((some, "a"), (others, "b")))
         left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
         near = a.join(b, "token").where((F.col("root_a") != F.col("root_b")) & (left >= t * (F.col("n_a") + F.col("n_b")) - 1e-6))
         pairs = near.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
-        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        good = staged(verified(pairs, texts, width, similarity), "ties")
-        ties, tried = (good, pairs) if ties is None else (ties.union(good), tried.union(pairs))
-        return components(ties, "groups").select(F.col("node").alias("id"), "root")
-
-    def unsettled(groups: DataFrame) -> DataFrame:
-        """The cells with more than one group, with `main`, the group of most of their texts."""
-        now = cells.select(*keep, "size").join(broadcast_if_small(staged(groups, "roots")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        main = now.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("token", "main")
-        return staged(now.join(main, "token"), "open")
-
-    def centres(of: DataFrame, by: list) -> DataFrame:
-        return of.groupBy("token").agg(F.max_by(F.struct("id", "n", "pos", "root"), F.struct(*by)).alias("c")).select("token", "c.*")
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        ties, tried = ties.union(staged(verified(pairs, texts, width, similarity), "ties")), tried.union(pairs)
 
-    groups = compared(centres(cells, ["typical", "id"]), cells)
-    cells = unsettled(groups)
+    open_cells()
+    last = float("inf")
     for k in range(rounds):
-        hot = cells.where(F.col("size") > cell_limit)
-        if hot.isEmpty():
+        work, rows = work_left()
+        if work <= 4 * rows or work > last / 2:
             break
-        groups = compared(centres(hot.where("root <> main"), [F.xxhash64("id", F.lit(k)), "id"]), hot)
-        cells = unsettled(groups)
-    groups = compared(cells.where("root <> main"), cells)
-    return staged(groups, "near")
+        last, by = work, ["typical", "id"] if k == 0 else [F.xxhash64("id", F.lit(k)), "id"]
+        some = cells if k == 0 else cells.where("root <> main")
+        centres = some.groupBy("token").agg(F.max_by(F.struct("id", "n", "pos", "root"), F.struct(*by)).alias("c")).select("token", "c.*")
+        compare(centres, cells)
+        open_cells()
+    compare(cells.where("root <> main"), cells)
+    return staged(components(ties, "groups").select(F.col("node").alias("id"), "root"), "near")
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
