@@ -26,7 +26,7 @@ from string import punctuation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamellar.llm.common import broadcast_if_small, staged, text_batches
+from lamellar.llm.common import bit_filter, broadcast_if_small, in_filter, staged, text_batches
 
 WINDOW, SUBSTITUTIONS = 13, 2
 MASKS, SHORT = ((0, 1, 2, 5, 7, 8), (0, 2, 3, 4, 7, 8)), (0, 1, 2)
@@ -72,14 +72,6 @@ def hashes(numbers, kind: int):
     return h ^ h >> np.uint64(29)
 
 
-def bit_places(h, bits: int):
-    """The two bits of each hash (unsigned array) in a filter of so many bits (a power of two)."""
-    import numpy as np
-
-    mix = h * np.uint64(0xD6E8FEB86659FD93)
-    return (h & np.uint64(bits - 1)).astype(np.int64), (mix >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
-
-
 def allowed(n: int) -> tuple[int, int]:
     """Window and substitutions for an item of n words."""
     return (WINDOW, SUBSTITUTIONS) if n >= WINDOW else (n, 1 if n >= 7 else 0)
@@ -137,28 +129,6 @@ def seeds(benchmark: DataFrame) -> DataFrame:
     return staged(items.mapInArrow(cut, SEEDS), "seeds")
 
 
-def bit_filter(of: DataFrame, filter_bits: int):
-    """of: distinct h. A byte array of at most filter_bits bits, with the two bits of each hash set; built in blocks of 32,768 bits."""
-    import numpy as np
-
-    n, bits = of.count(), 1 << 15
-    while bits < min(filter_bits, 64 * n):
-        bits *= 2
-
-    def places(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bit_places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))], ["p"])
-
-    at = of.mapInArrow(places, "p long").select((F.col("p") + 1).alias("p"))  # Spark's bitmaps count from 1
-    blocks = at.groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for block, some in blocks.collect():  # filter_bits at most
-        out[(block - 1) * 4096 : block * 4096] = np.frombuffer(some, np.uint8)
-    return out
-
-
 def hits(docs: DataFrame, of: DataFrame, filter_bits: int) -> DataFrame:
     """Staged rows HITS: the places of the texts whose hash an item has (and few others)."""
     import numpy as np
@@ -179,9 +149,7 @@ def hits(docs: DataFrame, of: DataFrame, filter_bits: int) -> DataFrame:
                     if kind == WHOLE and len(w) > 2:
                         continue
                     h = hashes(ids, kind)
-                    p, q = bit_places(h, 8 * len(bits))
-                    hit = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & (bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1
-                    for at in np.flatnonzero(hit).tolist():
+                    for at in np.flatnonzero(in_filter(h, bits)).tolist():
                         out.append((k1, k2, len(w), at, kind, int(h[at].view(np.int64)), *around(w, at, kind)))
                     if len(out) > 50_000:
                         yield batch(out)

@@ -125,7 +125,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     gaps, taken, sequences = None, [], 0
     for new, plan in supersteps(counts, capacity):
         # a gap: sequence_id, size, rank in its size
-        fresh = spark.range(new).select((F.col("id") + sequences).alias("sequence_id"), F.lit(capacity).cast("long").alias("size"), F.col("id").alias("rank"))
+        fresh = spark.range(new).select((F.col("id") + sequences).alias("sequence_id"), F.when(F.col("id") >= 0, F.lit(capacity)).cast("long").alias("size"), F.col("id").alias("rank"))
         sequences += new
         kept = None if gaps is None else gaps.select("sequence_id", F.col("left").alias("size"), F.col("rank_left").alias("rank"))
         now = fresh if kept is None else kept.union(fresh) if new else kept

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamellar.llm.common import broadcast_if_small, components, drop_staged, staged, text_batches
+from lamellar.llm.common import bit_filter, broadcast_if_small, compact, components, drop_staged, in_filter, staged, text_batches
 
 EVEN = 0x5555555555555555
 ROW, ID = "__lamellar_row", "__lamellar_id"
@@ -86,19 +86,22 @@ def grid_cells(points: DataFrame) -> DataFrame:
 
 
 def links(points: DataFrame) -> DataFrame:
-    """points (staged): distinct fp. Rows (a, b) that tie what pairs at two bits or fewer tie."""
-    met = grid_cells(points).groupBy("cell").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("cell")
-    met = staged(met, "met")
+    """points (staged): distinct fp. Staged rows (a, b) that tie what pairs at two bits or fewer tie."""
+    met = staged(grid_cells(points).groupBy("cell").count().where("count > 1").select("cell"), "met")
     near = staged(grid_cells(points).join(broadcast_if_small(met), "cell", "left_semi").select("fp").distinct(), "near")
-    at = near.select("fp", F.explode(one_bit_away(F.col("fp"))).alias("point"))
-    centre = at.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("point", "b")
-    return at.join(broadcast_if_small(staged(centre, "centres")), "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    at = compact(near, n := near.count(), 2_000).select("fp", F.explode(one_bit_away(F.col("fp"))).alias("point"))
+    centre = staged(at.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("point", "b"), "centres")
+    centre = broadcast_if_small(compact(centre, n))
+    out = staged(at.join(centre, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "fp-links")
+    drop_staged(points.sparkSession, met)
+    return out
 
 
 def near_duplicates(fps: DataFrame) -> DataFrame:
     """fps (staged: doc_id, fp) with component_id, the smallest doc_id that links of two bits or fewer reach."""
     points = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    roots = components(links(points.select("fp")), "links")
+    tied = links(points.select("fp"))
+    roots = components(tied, "links")
     tied = points.join(broadcast_if_small(roots), points.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     of = staged(tied.join(smallest, "root").select("fp", "component_id"), "components")
@@ -114,7 +117,7 @@ def shingle_hashes(text: str | None, width: int):
     return np.unique(np.frombuffer(b"".join([xxh64_digest(x, 42) for x in found]), ">i8").astype(np.int64))
 
 
-def frequent_shingles(texts: DataFrame, width: int, share: int = 16, least: int = 3, most: int = 1 << 20) -> tuple:
+def frequent_shingles(texts: DataFrame, width: int, share: int = 16, least: int = 3, most: int = 1 << 19) -> tuple:
     """Hashes (sorted) and ranks from 1 of shingles that are frequent in a share of the texts. Only the order of shingles depends on them, no result does."""
     import numpy as np
 
@@ -144,10 +147,21 @@ def majority_bits(hashes) -> int:
     return signed(int.from_bytes(np.packbits(ones * 2 > len(b)).tobytes(), "big"))
 
 
+PARTS = 64
+
+
+def part_counts(hashes):
+    """Numbers of an array's hashes in PARTS parts of their range, as bytes. The Manhattan distance of two texts' counts is never more than the size of
+    the symmetric difference of their shingle sets."""
+    import numpy as np
+
+    return np.minimum(np.bincount(hashes.view(np.uint64) >> np.uint64(58), minlength=PARTS), 65535).astype("<u2").tobytes()
+
+
 def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Rows token, id, n, pos, typical: the first of each text's n shingles in one order for all texts, rare ones first. Texts of the similarity share one.
+    """Rows token, id, n, pos: the first of each text's n shingles in one order for all texts, rare ones first. Texts of the similarity share one.
 
-    `typical` is the number per million of the text's shingles that are frequent. At pos -1, token is the text's fingerprint.
+    At pos -1, token is the text's fingerprint, `typical` the number per million of its shingles that are frequent, `parts` its part_counts.
     """
     import numpy as np
 
@@ -161,7 +175,7 @@ def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
 
         frequent, ranks = ordered.value
         for part, some in text_batches(batches):
-            out = []
+            out, typical, parts = [], [], []
             for i, t in zip(part.column(0).to_pylist(), some, strict=True):
                 h = shingle_hashes(t, width)
                 n, rank = len(h), np.zeros(len(h), np.int64)
@@ -170,12 +184,14 @@ def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                     rank = np.where(frequent[at] == h, ranks[at], 0)
                 first = h[np.argsort(rank, kind="stable")][: n - math.ceil(similarity * n - 1e-6) + 1]
                 k = len(first) + 1
-                typical = (rank > 0).sum() * 1_000_000 // n
-                out.append((np.append(first, majority_bits(h)), np.full(k, i, np.int64), np.full(k, n, np.int32), np.append(np.arange(k - 1, dtype=np.int32), np.int32(-1)), np.full(k, typical, np.int32)))
+                out.append((np.append(first, majority_bits(h)), np.full(k, i, np.int64), np.full(k, n, np.int32), np.append(np.arange(k - 1, dtype=np.int32), np.int32(-1))))
+                typical += [None] * (k - 1) + [int((rank > 0).sum() * 1_000_000 // n)]
+                parts += [None] * (k - 1) + [part_counts(h)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "id", "n", "pos", "typical"])
+                cols = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(typical, pa.int32()), pa.array(parts, pa.binary())], ["token", "id", "n", "pos", "typical", "parts"])
 
-    return texts.select("id", "text").mapInArrow(cut, "token long, id long, n int, pos int, typical int")
+    return texts.select("id", "text").mapInArrow(cut, "token long, id long, n int, pos int, typical int, parts binary")
 
 
 def jaccard_at_least(a: str, b: str, width: int, similarity: float) -> bool:
@@ -184,12 +200,37 @@ def jaccard_at_least(a: str, b: str, width: int, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text ids whose shingle sets are similar enough. texts: id, row, text; one row of each needed id is read."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    one = texts.groupBy("id").agg(F.min("row").alias("row")).join(needed, "id", "left_semi").select("row")
-    texts = staged(texts.join(broadcast_if_small(staged(one, "one")), "row", "left_semi").select("id", "text"), "needed")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+def of_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of table whose id is among distinct ids (staged)."""
+    return table.join(broadcast_if_small(ids), "id", "left_semi")
+
+
+def verified(pairs: DataFrame, marks: DataFrame, once: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text ids whose shingle sets are similar enough, staged. marks: id, n, parts; once: id, text.
+
+    Pairs that the part counts already tell apart (a lower bound of the distance) go before any text is read.
+    """
+    spark, t = pairs.sparkSession, similarity / (1 + similarity)
+    ids = lambda p, name: staged(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
+    some = staged(of_ids(marks, ids(pairs, "ids")).select("id", "n", "parts"), "sketches")
+    hint = F.broadcast if some.count() <= 100_000 else (lambda df: df)
+    for c in "ab":
+        pairs = pairs.join(hint(some.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"p_{c}"))), c)
+
+    def bound(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(f"p_{c}")).to_pylist()), "<u2").reshape(-1, PARTS).astype(np.int32) for c in "ab")
+                n = sum(b.column(b.schema.get_field_index(f"n_{c}")).to_numpy(zero_copy_only=False).astype(np.int64) for c in "ab")
+                good = pa.array(np.abs(x - y).sum(1) <= (1 - 2 * t) * n + 1e-6)
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).filter(good) for c in "ab"], ["a", "b"])
+
+    close = staged(pairs.mapInArrow(bound, "a long, b long"), "close")
+    needed = staged(of_ids(once, ids(close, "close-ids")).select("id", "text"), "needed")
+    both = close.join(needed.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(needed.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def test(batches):
         import pyarrow as pa
@@ -201,18 +242,39 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
                 good = pa.array([jaccard_at_least(i or "", j or "", width, similarity) for i, j in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], ["a", "b"])
 
-    return both.mapInArrow(test, "a long, b long")
+    out = staged(both.mapInArrow(test, "a long, b long"), "ties")
+    drop_staged(spark, needed)
+    drop_staged(spark, some)
+    return out
+
+
+def likely(tokens: DataFrame, shared: DataFrame, most_bits: int = 1 << 25) -> DataFrame:
+    """tokens (first column: token) without most of those that aren't in shared: by a bit filter of 4 MB at most, before they are exchanged."""
+    import numpy as np
+
+    known = tokens.sparkSession.sparkContext.broadcast(bit_filter(shared, most_bits, 16))
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(in_filter(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), known.value).astype(bool)))
+
+    return tokens.mapInArrow(keep, tokens.schema)
 
 
-def near_fingerprints(of: DataFrame) -> DataFrame:
-    """of (staged): fp, id. Pairs (a, b) of ids whose fingerprints are linked: each id with the smallest of its fingerprint, and these with each other."""
-    points = staged(of.groupBy("fp").agg(F.min("id").alias("first")), "points")
-    tied = staged(links(points.select("fp")), "links")
-    ends = tied
+def near_fingerprints(marks: DataFrame) -> DataFrame:
+    """marks (staged): fp, id. Pairs (a, b) of ids whose fingerprints are linked: each id with the smallest of its fingerprint, and these with each other."""
+    points = staged(marks.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "points")
+    shared = broadcast_if_small(staged(points.where("n > 1").select("fp", "first"), "shared"))
+    same = marks.select("fp", "id").join(shared, "fp").where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    tied = links(points.select("fp"))
+    of = tied.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    firsts = broadcast_if_small(staged(points.join(broadcast_if_small(staged(of, "linked")), "fp").select("fp", "first"), "firsts"))
     for c in "ab":
-        ends = ends.join(points.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")), c)
-    same = of.join(points, "fp").where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    return same.union(ends.select(F.greatest("first_a", "first_b"), F.least("first_a", "first_b"))).distinct()
+        tied = tied.join(firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")), c)
+    return same.union(tied.select(F.greatest("first_a", "first_b"), F.least("first_a", "first_b")))
 
 
 def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 6) -> DataFrame:
@@ -221,58 +283,63 @@ def near_copies(texts: DataFrame, width: int = 5, similarity: float = 0.8, round
     texts (staged): row (unique), id (the text's hash), text. SimHash links come first, each verified on the shingle sets. They don't reach far
     enough (at a similarity of 0.8 some ten of 64 bits differ), so a prefix filter completes them: with all shingles in one order, two texts of the
     similarity share one among the first n - similarity * n + 1 of each, and from the first that they share enough must be left in both.
-    Texts with such a shingle in common are a cell. Each cell's most typical text is compared with those of other groups than its own, and again
-    with other centres (up to `rounds` times, while that halves the work left). Then all candidates are compared that aren't in one group:
-    those outside a cell's largest group with all of the cell. Candidates are complete, so the groups are those of all pairs.
+    Texts with such a shingle in common are a cell. Each text is compared with its cells' most typical ones. Then those that aren't in the
+    group of their cell's typical one are compared with all the cell, so far as they aren't in one group; where many are left, with
+    other centres of their own first (up to `rounds` times, while that halves the work). Candidates are complete, so the groups are those of all pairs.
     """
-    keep, t = ["token", "id", "n", "pos", "typical"], similarity / (1 + similarity)
-    copies = texts.select("id", "row").join(texts.groupBy("id").agg(F.min("row").alias("first")), "id").where("row > first").select("row")
-    once = texts.join(broadcast_if_small(staged(copies, "copies")), "row", "left_anti")
+    spark, t = texts.sparkSession, similarity / (1 + similarity)
+    again = staged(texts.groupBy("id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("id", "first"), "again")
+    copies = staged(texts.select("id", "row").join(broadcast_if_small(again), "id").where("row > first").select("row"), "copies")
+    once = texts.join(broadcast_if_small(copies), "row", "left_anti")
     tokens = staged(prefixes(once, width, similarity), "tokens")
-    pairs = staged(near_fingerprints(staged(tokens.where("pos < 0").select(F.col("token").alias("fp"), "id"), "fps")), "pairs")
-    ties, tried = staged(verified(pairs, texts, width, similarity), "ties"), pairs
-    in_prefix = tokens.where("pos >= 0")
-    sizes = in_prefix.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    cells = staged(in_prefix.join(sizes.select("token"), "token"), "cells")
-    drop_staged(tokens.sparkSession, tokens)
-
-    def open_cells() -> DataFrame:
-        """The cells with more than one group, with each row's group and `main`, the group of most of the cell's texts."""
-        nonlocal cells
-        groups = staged(components(ties, "groups"), "roots").withColumnRenamed("node", "id")
-        now = cells.select(*keep).join(broadcast_if_small(groups), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        main = now.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("token", "main")
-        cells = staged(now.join(main, "token"), "open")
-        return groups
-
-    def work_left() -> tuple[int, int]:
-        each = cells.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("others"))
-        r = each.agg(F.sum(F.col("n").cast("double") * F.col("others")), F.sum("n")).first()
-        return r[0] or 0, r[1] or 0
-
-    def compare(some: DataFrame, others: DataFrame) -> None:
-        """Pairs of two tables of cell members that may reach the similarity and aren't in one group are verified and added to the ties."""
-        nonlocal ties, tried
-        a, b = (x.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "pos", "root"))) for x, k in ((some, "a"), (others, "b")))
-        left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-        near = a.join(b, "token").where((F.col("root_a") != F.col("root_b")) & (left >= t * (F.col("n_a") + F.col("n_b")) - 1e-6))
-        pairs = near.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        ties, tried = ties.union(staged(verified(pairs, texts, width, similarity), "ties")), tried.union(pairs)
-
-    open_cells()
-    last = float("inf")
-    for k in range(rounds):
-        work, rows = work_left()
-        if work <= 4 * rows or work > last / 2:
+    marks = staged(tokens.where("pos < 0").select("id", "n", F.col("token").alias("fp"), "typical", "parts"), "marks")
+    check = lambda pairs: verified(staged(pairs, "pairs"), marks, once, width, similarity)
+    ties = check(near_fingerprints(marks).distinct())
+    in_prefix = tokens.where("pos >= 0").select("token", "id", "n", "pos")
+    shared = staged(in_prefix.groupBy("token").count().where("count > 1").select("token"), "shared")
+    members = staged(likely(in_prefix, shared).join(shared, "token"), "members")
+    drop_staged(spark, tokens)
+    drop_staged(spark, shared)
+    typical = broadcast_if_small(staged(marks.where("typical > 0").select("id", "typical"), "typical"))
+    by_typical = F.max_by(F.struct(F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos")), F.struct(F.coalesce("typical", F.lit(0)), "id")).alias("c")
+    centres = members.join(typical, "id", "left").groupBy("token").agg(by_typical).select("token", "c.*")
+    cells = staged(members.join(centres, "token"), "cells")
+    drop_staged(spark, members)
+
+    def may_reach(a: tuple, b: tuple) -> Column:
+        """Whether enough shingles are left after the places at which two texts share one."""
+        (n_a, pos_a), (n_b, pos_b) = ((F.col(n), F.col(p)) for n, p in (a, b))
+        return F.least(n_a - pos_a, n_b - pos_b) >= t * (n_a + n_b) - 1e-6
+
+    def untried(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs of the members of cells in a and in b that may reach the similarity and aren't in one group."""
+        a, b = (x.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "pos", "root"))) for x, k in ((a, "a"), (b, "b")))
+        near = a.join(b, "token").where((F.col("root_a") != F.col("root_b")) & may_reach(("n_a", "pos_a"), ("n_b", "pos_b")))
+        return near.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+    with_centre = cells.where((F.col("id") != F.col("c")) & may_reach(("n", "pos"), ("c_n", "c_pos")))
+    ties = ties.union(check(with_centre.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct().join(ties, ["a", "b"], "left_anti")))
+    open_, last = cells, float("inf")
+    for k in range(rounds + 1):
+        groups = components(ties, "groups")
+        of, main = (broadcast_if_small(groups.toDF(c, g)) for c, g in (("id", "root"), ("c", "main")))
+        now = open_.select("token", "id", "n", "pos", "c").join(of, "id", "left").join(main, "c", "left")
+        now = staged(now.withColumns({"root": F.coalesce("root", "id"), "main": F.coalesce("main", "c")}), "now")
+        drop_staged(spark, open_)
+        others = staged(now.where("root <> main"), "others")
+        left = staged(others.groupBy("token").count(), "left")
+        open_ = staged(now.join(left.select("token"), "token"), "open")
+        drop_staged(spark, now)
+        work, rows = open_.groupBy("token").agg(F.count("*").alias("n")).join(left, "token").agg(F.sum(F.col("n").cast("double") * F.col("count")), F.sum("n")).first()
+        if k == rounds or (work or 0) <= 8 * (rows or 0) or work > last / 2:
             break
-        last, by = work, ["typical", "id"] if k == 0 else [F.xxhash64("id", F.lit(k)), "id"]
-        some = cells if k == 0 else cells.where("root <> main")
-        centres = some.groupBy("token").agg(F.max_by(F.struct("id", "n", "pos", "root"), F.struct(*by)).alias("c")).select("token", "c.*")
-        compare(centres, cells)
-        open_cells()
-    compare(cells.where("root <> main"), cells)
-    return staged(components(ties, "groups").select(F.col("node").alias("id"), "root"), "near")
+        last = work
+        some = others.groupBy("token").agg(F.max_by(F.struct("id", "n", "pos", "root"), F.struct(F.xxhash64("id", F.lit(k)), "id")).alias("c")).select("token", "c.*")
+        ties = ties.union(check(untried(some, open_)))
+    ties = ties.union(check(untried(others, open_)))
+    for spent in (open_, others, marks):
+        drop_staged(spark, spent)
+    return components(ties, "groups").select(F.col("node").alias("id"), "root")
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
@@ -280,7 +347,7 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     fields = docs.columns
     rows = staged(docs.withColumns({ROW: F.monotonically_increasing_id(), ID: F.xxhash64(F.coalesce("text", F.lit("")))}), "rows")
     groups = near_copies(rows.select(F.col(ROW).alias("row"), F.col(ID).alias("id"), "text"), **kw)
-    keys = rows.select(ROW, ID, "doc_id").join(groups, F.col(ID) == F.col("id"), "left").select(ROW, "doc_id", F.coalesce("root", ID).alias("g"))
+    keys = rows.select(ROW, ID, "doc_id").join(broadcast_if_small(groups), F.col(ID) == F.col("id"), "left").select(ROW, "doc_id", F.coalesce("root", ID).alias("g"))
     keys = staged(keys, "keys")
     first = keys.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("m")).select("m." + ROW)
     gone = staged(keys.select(ROW).join(first, ROW, "left_anti"), "gone")

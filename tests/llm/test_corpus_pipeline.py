@@ -32,3 +32,20 @@ def test_stages(spark, tmp_path):
     assert seen["benchmark_text"] == seen["near_copies"] - {102}
     assert seen["packed"] == seen["personal_data"] == seen["benchmark_text"]
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    for name, data in (("odd", None), ("empty", [])):
+        folder = write(spark, tmp_path / name, data, [(1, prose(4, 60))] if data is None else [])
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            assert data is None or out.count() == 0
+            if k < 4:
+                assert out.columns == docs.columns
+                out.write.parquet(str(tmp_path / f"{name}{k}"))
+                docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+        for _, stage in corpus_pipeline.STAGES[1:]:  # each stage on rows that no other has seen
+            assert data is None or stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count() == 0
+            if data is None:
+                assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count() > 10
