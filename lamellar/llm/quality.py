@@ -4,7 +4,10 @@ Each metric's fence in a group is median + spread_factor * (q75 - q25) + slack,
 word length there is a lower fence, too. Groups of under `least_rows` documents take the sketches merged over their language, or over all.
 The fences are joined to the documents, which pass if no metric lies beyond its fence.
 
-Null text: no words, so base_failed. Null lang or source: a group of their own. Equal rows are judged alike, each. An empty table gives no rows.
+SLACK is part of the method, not a fixed cutoff in place of it: where a metric hardly varies in a group, a learned spread of zero would reject any
+document that differs at all, so a fence never comes closer to the learned median than that.
+
+Very long texts: read once, counted by bytes; their five-word windows are held while one text is read. Null text: no words, so base_failed. Null lang or source: a group of their own. Equal rows are judged alike, each. An empty table gives no rows.
 Other columns of the input aren't read. Sketches are exact while a group has fewer than `sketch_k` rows; beyond, their rank error is about 2/k.
 """
 
@@ -79,8 +82,9 @@ def fences(stats: DataFrame, spread_factor: float = 4.0, least_rows: int = 30, s
     groups = staged(stats.where("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(m, F.lit(sketch_k)).alias(m) for m in metrics)), "sketches")
     merged = lambda keys, name: groups.groupBy(*keys).agg(F.sum("rows").alias(f"{name}_rows"), *(F.kll_merge_agg_double(m, F.lit(sketch_k)).alias(f"{name}_{m}") for m in metrics))
     langs = merged(["lang"], "lang").withColumnRenamed("lang", "l")
-    everything = merged([], "all").withColumn("one", F.lit(1))
-    out = groups.join(langs, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("one", F.lit(1)).join(everything, "one")
+    one = lambda rows: F.when(F.col(rows) >= 0, 1).alias("one")  # noqa: E731  a key that isn't folded away, so that the single row is looked up
+    everything = F.broadcast(merged([], "all").select("*", one("all_rows")))
+    out = groups.join(langs, F.col("lang").eqNullSafe(F.col("l")), "left").select("*", one("rows")).join(everything, "one")
     pick = lambda m: F.when(F.col("rows") >= least_rows, F.col(m)).when(F.col("lang_rows") >= least_rows, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
     at = lambda m, q: F.kll_sketch_get_quantile_double(pick(m), F.lit(q))
     reach = lambda m: spread_factor * (at(m, 0.75) - at(m, 0.25)) + SLACK[m]

@@ -640,6 +640,19 @@ def test_language_steps_part_languages(spark):
     assert langid.train(docs.where("doc_id < 0")) is None
 
 
+def test_held_out_accuracy(spark, small):
+    folder = str(Path(small).parent / "sf0.1")
+    told = QUERIES["op8_language_id"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/documents.parquet").where("lang is not null and text rlike '[a-z]'").select("doc_id", "lang"), "doc_id").collect()
+    assert len(told) > 1500 and sum(r.lang == r.lang_pred for r in told) >= 0.99 * len(told)
+
+
+def test_language_bound_and_many_languages(spark):
+    data = [(i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20 + prose(i, 3), f"l{k:03}") for k in range(40) for i in range(k, 40 * 5, 40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.train(docs, per_lang=5, most_langs=30)
+    assert sorted(x for m in model["members"] for x in m) == [f"l{k:03}" for k in range(30)]
+
+
 # ---- 9
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -743,6 +756,14 @@ def test_shard_file_is_random_access(tmp_path):
 # ---- common
 
 
+def test_no_cross_joins(spark, odd):
+    """Nor any Python on the executors in the native ones."""
+    for name in QUERIES:
+        plan = QUERIES[name](spark, odd)._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        assert name not in ("op2_sharding", "op5_url_filter", "op9_pii") or not re.search("MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython", plan), name
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 7), (200, 201), (300, 300)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
