@@ -1,7 +1,6 @@
 """Operators against hand-made rows and independent restatements of the sequential ones."""
 
 import hashlib
-import io
 import json
 import random
 import tarfile
@@ -268,7 +267,7 @@ def test_otsu_and_histogram(spark):
     hist = imaging.histogram(df, ["g"], "x")
     assert hist.count() == 512
     got = {x.g: x.threshold for x in imaging.otsu(hist, ["g"]).collect()}
-    assert got["g"] == imaging.otsu_of(v) and got["c"] == 0
+    assert got["g"] == imaging.threshold_of(np.bincount(v, minlength=256)) and got["c"] == 0
     assert imaging.otsu(spark.range(4).select(F.col("id").alias("v"), F.lit(0).alias("n")), []).first()[0] == 127
 
 
@@ -278,10 +277,9 @@ def test_tiles_tars_and_decoding(spark, tmp_path):
     images = spark.createDataFrame([("i1", 130, 70, bytearray(a.tobytes()))], "item_id string, width int, height int, content binary")
     tiles = imaging.tile(images, 0.1, 32, 2048)
     assert {(t.x, t.y) for t in tiles.collect()} == {(0, 0), (32, 0), (0, 32), (32, 32)}
-    packed = imaging.pack_tars(tiles).first()
-    with tarfile.open(fileobj=io.BytesIO(bytes(packed.content))) as tar:
-        assert packed.n == 4 and [m.name for m in tar] == sorted(t.path for t in tiles.collect())
-    (tmp_path / "i1.tar").write_bytes(bytes(packed.content))
+    packed = imaging.pack_tars(tiles, f"file://{tmp_path}").collect()
+    with tarfile.open(packed[0].path) as tar:
+        assert len(packed) == 1 and packed[0].n == 4 and [m.name for m in tar] == sorted(t.path for t in tiles.collect())
     back = files.read_tars(spark, str(tmp_path))
     assert sorted((r.path, bytes(r.content)) for r in back.collect()) == sorted((t.path, bytes(t.content)) for t in tiles.collect())
     some = spark.createDataFrame([("a", bytearray(b"x" * 12)), ("b", bytearray(b"x")), ("c", bytearray(b"!"))], "path string, content binary")
@@ -294,7 +292,7 @@ def test_tiles_tars_and_decoding(spark, tmp_path):
 def test_grid_and_tokens(spark):
     g = imaging.grid(spark.createDataFrame([("a", 600, 300, 1.5), ("b", 100, 900, 1.0)], "i string, width int, height int, level_downsample double"))
     assert rows(g.select("i", "gx", "gy", "x0", "y0")) == [("a", 0, 0, 0, 0), ("a", 1, 0, 384, 0)]
-    assert imaging.mask_cell(4000, 1000) == (3.90625, 66)
+    assert imaging.thumbnail_scale(4000, 1000) == 3.90625 and imaging.thumbnail_scale(10, 20) == 1
     t = np.arange(12.0).reshape(6, 2)
     assert list(encode.pool_tokens(t, "first_token")) == [0, 1] and list(encode.pool_tokens(t, "first_and_mean_of_rest")) == [0, 1, 6, 7] and list(encode.pool_tokens(t, "first_and_mean_after_registers")) == [0, 1, 10, 11]
 
