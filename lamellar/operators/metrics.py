@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamellar.operators.selection import block_of, sums_before
+
 
 def confusion_counts(df: DataFrame, by: list[str]) -> DataFrame:
     """by, y, pred, n. One aggregation; all metrics but the AUROC follow from it."""
@@ -12,43 +14,52 @@ def confusion_counts(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, by: list[str], classes: int) -> DataFrame:
-    """All class pairs, 0 where none."""
-    grid = df.select(*by).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(classes - 1)))).withColumn("pred", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
-    return grid.join(confusion_counts(df, by), [*by, "y", "pred"], "left").fillna(0, ["n"])
+    """All class pairs, 0 where none: the counts and zeros for every pair, summed."""
+    counts = confusion_counts(df, by)
+    pairs = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(p).alias("pred"), F.lit(0).cast("long").alias("n")) for y in range(classes) for p in range(classes)))
+    own = F.array(F.struct(F.col("y").cast("int").alias("y"), F.col("pred").cast("int").alias("pred"), "n"))
+    cells = counts.select(*by, F.explode(F.concat(pairs, own)).alias("e")).select(*by, "e.*")
+    return cells.groupBy(*by, "y", "pred").agg(F.sum("n").alias("n")).where(F.col("y").between(0, classes - 1) & F.col("pred").between(0, classes - 1))
+
+
+def class_counts(df: DataFrame, by: list[str], classes: int) -> DataFrame:
+    """For each class its rows (support), its predictions and its hits, from one aggregation: an agreeing pair counts for one class, another for two."""
+    counts = confusion_counts(df, by)
+    of = lambda c, support, predicted, hits: F.struct(F.col(c).cast("int").alias("class"), support.alias("support"), predicted.alias("predicted"), hits.alias("hits"))
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("y") == F.col("pred"), n).otherwise(zero)
+    none = [F.struct(F.lit(k).alias("class"), zero.alias("support"), zero.alias("predicted"), zero.alias("hits")) for k in range(classes)]
+    each = counts.select(*by, F.explode(F.array(of("y", n, zero, hit), of("pred", zero, n, zero), *none)).alias("e")).select(*by, "e.*")
+    return each.groupBy(*by, "class").agg(*(F.sum(c).alias(c) for c in ("support", "predicted", "hits")))
 
 
 def class_scores(df: DataFrame, by: list[str], classes: int) -> DataFrame:
     """Recall (null without support) and precision (0 if never predicted) of each class."""
-    m = confusion_matrix(df, by, classes)
-    hit = F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0))
-    rows = m.groupBy(*by, F.col("y").alias("class")).agg(F.try_divide(hit, F.sum("n")).alias("recall"))
-    cols = m.groupBy(*by, F.col("pred").alias("class")).agg(F.coalesce(F.try_divide(hit, F.sum("n")), F.lit(0.0)).alias("precision"))
-    return rows.join(cols, [*by, "class"])
+    each = class_counts(df, by, classes).where(F.col("class").between(0, classes - 1))
+    return each.select(*by, "class", F.try_divide("hits", "support").alias("recall"), F.coalesce(F.try_divide("hits", "predicted"), F.lit(0.0)).alias("precision"))
 
 
 def metric_bundle(df: DataFrame, by: list[str], classes: int) -> DataFrame:
-    """accuracy, balanced_accuracy, macro_f1 (classes with support), n."""
-    p, r = F.col("precision"), F.col("recall")
-    f1 = F.when(r.isNotNull(), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)))
-    per = class_scores(df, by, classes).groupBy(*by).agg(F.avg("recall").alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
-    acc = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
-    return acc.join(per, by)
+    """accuracy, balanced_accuracy, macro_f1 (classes with support), n; all from one reading and one aggregation of the rows."""
+    known = F.col("class").between(0, classes - 1)
+    recall, precision = F.when(known, F.try_divide("hits", "support")), F.coalesce(F.try_divide("hits", "predicted"), F.lit(0.0))
+    f1 = F.when(recall.isNotNull(), F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall)))
+    each = class_counts(df, by, classes)
+    return each.groupBy(*by).agg(F.sum("support").alias("n"), F.try_divide(F.sum("hits"), F.sum("support")).alias("accuracy"), F.avg(recall).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
 
 
 def average_ranks(df: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Rank from 1, ties share their mean: from counts of distinct scores, so that ties cost one row."""
-    counts = df.groupBy(*by, score).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, score, (F.coalesce(F.sum("_n").over(upto), F.lit(0)) + (F.col("_n") + 1) / 2).alias("rank"))
-    return df.join(ranks, [*by, score])
+    """Rank from 1, ties share their mean: from counts of distinct scores, so that ties cost one row; summed in blocks of scores, so that no group is one task."""
+    counts = df.groupBy(*by, score).agg(F.count("*").alias("_c"))
+    ranks = sums_before(counts, by, block_of(df, score), [score], F.col("_c"))
+    return df.join(ranks.select(*by, score, (F.col("_before") + (F.col("_c") + 1) / 2).alias("rank")), [*by, score])
 
 
 def auroc(df: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
-    """Mann-Whitney with ties at one half; null if a class is missing. positive: a boolean column."""
+    """Mann-Whitney with ties at one half; null if a class is missing. positive: a boolean column. Negatives below a score are summed in blocks of scores."""
     counts = df.groupBy(*by, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("m"))
-    upto = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("b", F.coalesce(F.sum("m").over(upto), F.lit(0)))
-    wins = F.sum(F.col("p") * (F.col("b") + F.col("m") / 2))
+    below = sums_before(counts, by, block_of(df, score), [score], F.col("m"))
+    wins = F.sum(F.col("p") * (F.col("_before") + F.col("m") / 2))
     return below.groupBy(*by).agg(F.try_divide(wins, F.sum("p") * F.sum("m")).alias("auroc"))
 
 
