@@ -37,8 +37,17 @@ def mutation_manifest(slides: DataFrame) -> DataFrame:
 
 
 def read_mutations(spark: SparkSession, path: str, gene: str = "Hugo_Symbol", sample: str = "Tumor_Sample_UUID") -> DataFrame:
-    """Two columns of tab-separated files, compressed or not; lines that begin with # are comments. Only the two columns are parsed."""
-    return spark.read.option("sep", "\t").option("header", True).option("comment", "#").csv(path).select(F.col(sample).alias("aliquot_id"), F.col(gene).alias("gene"))
+    """Two columns of tab-separated files, compressed or not; # begins a comment, at the start of a line or within: what follows in the line is null."""
+    rows = spark.read.option("sep", "\t").option("header", True).option("comment", "#").csv(path)
+
+    def cut(name: str):
+        earlier = rows.columns[: rows.columns.index(name)]
+        gone = F.lit(False)
+        for c in earlier:
+            gone |= F.coalesce(F.col(f"`{c}`").contains("#"), F.lit(False))
+        return F.when(~gone, F.nullif(F.substring_index(f"`{name}`", "#", 1), F.lit("")))
+
+    return rows.select(cut(sample).alias("aliquot_id"), cut(gene).alias("gene"))
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -53,6 +62,17 @@ def read_payloads(spark: SparkSession, path: str, extensions: tuple[str, ...] =
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(path).select("path", "content")
 
 
+def read_path_list(spark: SparkSession, path: str) -> DataFrame:
+    """path, place of a text file that names one path a line; blank lines and those that begin with # are skipped."""
+    lines = spark.read.text(path).select(F.trim("value").alias("path"), F.monotonically_increasing_id().alias("place"))
+    return lines.where((F.col("path") != "") & ~F.col("path").startswith("#"))
+
+
+def describe_source(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """One row: files, bytes and folders below a path, and the smallest and largest file."""
+    return listing(spark, path, glob).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.countDistinct("dir").alias("folders"), F.min("size").alias("smallest"), F.max("size").alias("largest"))
+
+
 def read_tars(spark: SparkSession, path: str) -> DataFrame:
     """path (member name), content of all members of the tars below a path, in order within each."""
 
@@ -74,10 +94,18 @@ def read_tars(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, record: int = 256 * 256 * 3) -> DataFrame:
     """file, idx, content of fixed-width records; a rest shorter than a record is dropped."""
-    files = read_payloads(spark, path, ("bin",))
-    n = F.expr(f"cast(length(content) div {record} as int)")
-    idx = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
-    return files.select("path", "content", idx.alias("idx")).select(F.element_at(F.split("path", "/"), -1).alias("file"), "idx", F.substring("content", F.col("idx") * record + 1, F.lit(record)).alias("content"))
+
+    def cut(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for file, content in zip(frame["file"], frame["content"], strict=True):
+                for lo in range(0, len(content) // record, 64):  # few records in a frame; the file isn't repeated beside them
+                    idx = range(lo, min(lo + 64, len(content) // record))
+                    yield pd.DataFrame({"file": file, "idx": list(idx), "content": [bytes(content[i * record : (i + 1) * record]) for i in idx]})
+
+    files = read_payloads(spark, path, ("bin",)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return files.mapInPandas(cut, "file string, idx int, content binary")
 
 
 def resolve_source(spark: SparkSession, candidates: list[tuple[str, str, str]]) -> tuple[str, str] | None:
