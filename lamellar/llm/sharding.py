@@ -7,7 +7,7 @@ The second permutation is by random buckets of a shard, ranked apart and set off
 The matrix has `partitions` x `shards` counts, whatever the number of rows; it alone is broadcast.
 
 Law `rows`: shard sizes differ by one at most. Null text: no bytes, so size 1 and the crc32 of nothing. Null or repeated doc_ids and equal rows
-are rows like others: rows are told apart by their place. An empty table gives no rows. Other columns of the input aren't read.
+are rows like others: rows are told apart by their place. An empty table gives no rows. Very long texts are measured where they are read; only numbers move. Other columns of the input, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ Shard file, all integers little-endian:
 A document is read with its two index entries and its own frame only. Ids that fit are stored in 2 bytes.
 The dictionary is trained on a bounded sample of serialized id arrays (`sample_rows` short documents, the smallest hashes of doc_id).
 
-Null text: as empty (its document holds the end id alone). Null doc_id: sorts first. Equal doc_ids: all kept, ordered by text hash.
+Very long texts: one document of a task is held at a time, whole. Null text: as empty (the end id alone). Null doc_id: sorts first. Equal doc_ids: all kept, ordered by text hash.
 An empty table writes no shard and gives no rows. Other columns of the input aren't read.
 """
 
