@@ -68,6 +68,14 @@ def read_path_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.where((F.col("path") != "") & ~F.col("path").startswith("#"))
 
 
+def feature_file(spark: SparkSession, path: str, environ: dict | None = None, variable: str = "LAMELLAR_FEATURES", glob: str = "*.h5") -> str | None:
+    """The file of precomputed features: the one that the environment names, else the first by path; None if there is none."""
+    import os
+
+    named = (os.environ if environ is None else environ).get(variable)
+    return named or listing(spark, path, glob).agg(F.min("path")).first()[0]
+
+
 def describe_source(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row: files, bytes and folders below a path, and the smallest and largest file."""
     return listing(spark, path, glob).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.countDistinct("dir").alias("folders"), F.min("size").alias("smallest"), F.max("size").alias("largest"))
