@@ -531,6 +531,32 @@ def patch_grid(t: Tables) -> DataFrame:
     return imaging.grid(items).select("item", "gx", "gy", "x0", "y0")
 
 
+@registered("SELECT l_orderkey, l_linenumber, l_partkey, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS best, round(list_max(e) / list_sum(e), 9) AS prob FROM (SELECT *, [exp(x - list_max(v)) for x in v] AS e FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, [l_quantity / 10, l_discount * 50, l_tax * 50] AS v FROM lineitem))")
+def softmax_argmax(t: Tables) -> DataFrame:
+    """Class and probability from three scores, the first of equal ones."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.array(F.col("l_quantity") / 10, F.col("l_discount") * 50, F.col("l_tax") * 50).alias("v")).distinct()
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", scalars.argmax(F.col("v")).alias("best"), F.round(F.array_max(scalars.softmax(F.col("v"))), 9).alias("prob"))
+
+
+@registered("""
+WITH s AS (SELECT vec_id, label, [list_dot_product(embedding::DOUBLE[], [((i + 1) * (k + 3) * 7919 % 101 - 50) / 50.0 for i in range(64)]::DOUBLE[]) for k in range(10)] AS z FROM embeddings)
+SELECT vec_id, label, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred FROM s""")
+def fixed_head_scores(t: Tables) -> DataFrame:
+    """A linear head of fixed weights applied to all embeddings: scoring alone, without training."""
+    weights = [[((i + 1) * (k + 3) * 7919 % 101 - 50) / 50.0 for i in range(64)] for k in range(10)]
+    dot = lambda w: F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, w)), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    return t.embeddings.select("vec_id", "label", scalars.argmax(F.array(*map(dot, weights))).alias("pred"))
+
+
+@registered("SELECT s.n_nationkey AS slide, c.c_custkey AS aliquot, n.r_regionkey AS sample FROM (SELECT r_regionkey FROM region) n JOIN nation s ON s.n_regionkey = n.r_regionkey JOIN customer c ON c.c_nationkey = s.n_nationkey")
+def nested_aliquots(t: Tables) -> DataFrame:
+    """Three nested levels unnested to one row for each innermost element, with the ids above it."""
+    inner = t.customer.groupBy("c_nationkey").agg(F.collect_list(F.struct("c_custkey")).alias("aliquots"))
+    middle = t.nation.join(inner, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "aliquots")).alias("portions"))
+    nested = t.region.join(middle, F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_regionkey", "portions")
+    return hierarchy.unnest(nested, ["portions", "e0.aliquots"], {"slide": "e0.n_nationkey", "aliquot": "e1.c_custkey", "sample": "r_regionkey"})
+
+
 # ---- plans that need Python: rows are checked by tests
 
 
