@@ -358,6 +358,101 @@ def test_build(spark, tmp_path):
     assert env_config(environ={"LAMELLAR_SIZE": "3", "X": "1"}) == {"size": "3"}
 
 
+def test_build_of_images(spark, tmp_path):
+    data, mafs = file_rows(spark)
+    pixels = np.random.default_rng(1).integers(0, 255, (64, 96, 3), np.uint8)
+    images = spark.createDataFrame([("i1", 96, 64, bytearray(pixels.tobytes()))], "item_id string, width int, height int, content binary")
+    steps = ["etl", "manifest", "mutations", "acquire", "tile", "pack", "decode", "thumbnails", "summarise"]
+    config = Config.load({"projects": ["P1"], "steps": steps, "tiling": {"least_tissue": 0.0, "patch": 32, "thumbnail": 32}})
+    build = Build(spark, str(tmp_path), config, {"files": data, "cases": cases(spark), "mutation_files": mafs, "images": images})
+    assert set(build.run(dry=True).values()) == {"to do"} and not list(tmp_path.iterdir())
+    assert set(build.run().values()) == {"done"} and set(build.run(dry=True).values()) == {"skipped"}
+    assert build.read("tile").count() == 6 and {r.status for r in build.read("decode").collect()} == {"ok"} and build.read("pack").first().n == 6
+    small = build.read("thumbnails").first()
+    assert (small.width, small.height) == (32, 21)
+    assert {r.step: r.rows for r in build.read("summarise").collect()}["manifest"] == build.read("etl").count()
+    level = imaging.tile(images.withColumn("level_downsample", F.lit(4.0)), 0.0, 32, 64).collect()
+    assert {(t.x, t.y) for t in level} == {(x * 128, y * 128) for x in range(3) for y in range(2)}
+
+
+def brute_patches(pixels, least, patch, longest):
+    """Patches with tissue, cell by cell and value by value."""
+    h, w = pixels.shape[:2]
+    scale = max(1.0, max(w, h) / longest)
+    small = np.array([[pixels[int(y * scale), int(x * scale)] for x in range(int(w / scale))] for y in range(int(h / scale))]).astype(int)
+    sat, top = small.max(2) - small.min(2), small.max(2)
+
+    def spread(v):
+        a, b = sat[sat <= v], sat[sat > v]
+        return a.size * b.size * (a.mean() - b.mean()) ** 2 if a.size and b.size else 0.0
+
+    mask = (sat > max(range(256), key=spread)) & (top > 15)
+    side = max(1, round(patch / scale))
+    cells = {(y, x): mask[y * side : (y + 1) * side, x * side : (x + 1) * side] for y in range(h // patch) for x in range(w // patch)}
+    return sorted(k for k, c in cells.items() if c.size and c.mean() >= least)
+
+
+@pytest.mark.parametrize("size", [(64, 96, 40), (130, 70, 4096), (257, 300, 100), (33, 500, 77)])
+def test_tissue_by_brute_force(size):
+    r = np.random.default_rng(size[0])
+    pixels = r.integers(200, 256, (*size[:2], 3), np.uint8)
+    pixels[: size[0] // 2, size[1] // 3 :] = r.integers(0, 256, pixels[: size[0] // 2, size[1] // 3 :].shape, np.uint8)
+    for least in (0.1, 0.5):
+        assert sorted(map(tuple, imaging.tissue_patches(pixels, least, 16, size[2]).tolist())) == brute_patches(pixels, least, 16, size[2])
+
+
+def test_decoders_and_thumbnails(spark):
+    names = ["no such library", "raw"]
+    imaging.DECODERS["no such library"] = lambda: __import__("no_such_library")
+    assert imaging.first_decoder(names)[0] == "raw"
+    with pytest.raises(RuntimeError):
+        imaging.first_decoder(names[:1])
+    rows = spark.createDataFrame([("a", bytearray(b"\x01" * 12)), ("b", bytearray(b"\x02" * 48)), ("c", bytearray(b"x"))], "path string, content binary")
+    assert {r.path: (r.status, r.raw and len(r.raw)) for r in imaging.decode_with(rows, ["raw"], 2).collect()} == {"a": ("ok", 12), "b": ("resized", 12), "c": ("failed", None)}
+    assert imaging.best_embedded({"label": (300, 200), "macro": (900, 400), "thumbnail": (1200, 1000)}, 800) == "macro"
+    assert imaging.best_embedded({"label": (300, 200)}, 800) == "label" and imaging.best_embedded({}, 800) is None
+    store = {"x": bytes(range(200)) * 10}
+    work = spark.createDataFrame([("i", "x", 2000), ("j", "gone", 10)], "item_id string, location string, size long")
+    embedded = lambda file, item: None
+    level = lambda file, item: (2, 2, file.read(12))
+    got = {r.item_id: r for r in imaging.remote_thumbnails(work, lambda place: lambda a, b: store[place][a:b], [embedded, level], 2).collect()}
+    assert (got["i"].status, got["i"].width, len(got["i"].content)) == ("renderer 1", 2, 12) and got["j"].status == "failed" and got["j"].detail
+
+
+def test_resumed_fetches_and_paths(spark, tmp_path):
+    work = spark.createDataFrame([("a", ""), ("b", ""), ("c", hashlib.md5(b"c").hexdigest())], "id string, md5 string")
+    calls = tmp_path / "calls"
+
+    def fetch(i):
+        with calls.open("a") as f:
+            f.write(i)
+        if i == "b" and calls.read_text().count("b") < 3:
+            raise OSError("later")
+        return i.encode()
+
+    first = transfer.fetch_all(work.where("id <> 'c'"), fetch, 1, delay=0).collect()
+    assert {r.id: r.status for r in first} == {"a": "downloaded", "b": "downloaded"}
+    done = spark.createDataFrame([(r.id, r.status) for r in first], "id string, status string")
+    assert {r.id: r.status for r in transfer.fetch_all(work, fetch, 1, delay=0, done=done).collect()} == {"a": "skipped", "b": "skipped", "c": "downloaded"}
+    (tmp_path / "list.txt").write_text("/x/1\n\n# no\n  /x/2\n")
+    assert [r.path for r in files.read_path_list(spark, str(tmp_path / "list.txt")).orderBy("place").collect()] == ["/x/1", "/x/2"]
+    assert files.describe_source(spark, str(tmp_path), "*.txt").first().files == 1
+    assert files.feature_file(spark, str(tmp_path), {"LAMELLAR_FEATURES": "f"}) == "f" and files.feature_file(spark, str(tmp_path), {}) is None
+    (tmp_path / "m.tsv").write_text("# top\nHugo_Symbol\tOther\tTumor_Sample_UUID\nG1\tx\ta1\nG2\ty # rest\ta2\nG3#\tx\ta3\n")
+    assert {(r.aliquot_id, r.gene) for r in files.read_mutations(spark, str(tmp_path / "m.tsv")).collect()} == {("a1", "G1"), (None, "G2"), (None, "G3")}
+
+
+def test_plans_of_ranks_and_metrics(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("g"), (F.col("id") % 3).cast("int").alias("y"), (F.col("id") % 2).cast("int").alias("pred"))
+    plan = lambda x: x._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan(selection.stratified_topn(df, "g", ["id"], 5))
+    assert plan(metrics.metric_bundle(df, ["g"], 3)).partition("Physical Plan")[2].count("Range (") <= 2
+    places = {r.id: r.depth for r in selection.depth(df.withColumn("x", -F.col("id")), "g", ["x", "id"]).collect()}
+    assert places == {i: (999 - i) // 3 if i % 3 == 0 else (997 - i) // 3 if i % 3 == 1 else (998 - i) // 3 for i in range(1000)}
+    null = df.withColumn("x", F.when(F.col("id") > 10, F.col("id")))
+    assert sorted(r.depth for r in selection.depth(null, "g", ["x", "id"]).where("g = 0").collect()) == list(range(334))
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "src"
     spark.range(10).write.parquet(str(src))
