@@ -22,7 +22,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamellar.llm.common import small_table, staged, text_batches
+from lamellar.llm.common import compact, small_table, staged, text_batches
+from lamellar.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, row long"
 
@@ -34,8 +35,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from lamellar.llm.tokens import encoder
-
         encode, last, task, row = encoder(tokenizer_path).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         for part, texts in text_batches(batches):
             out = []
@@ -131,6 +130,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         now = fresh if kept is None else kept.union(fresh) if new else kept
         steps = F.broadcast(small_table(spark, plan, fields))  # intervals of sizes up to capacity
         i = F.col("rank") - F.col("low")
+        now = compact(now, sum(p["high"] - p["low"] for p in plan), 500_000)
         now = now.join(steps, "size").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
         gaps = staged(now.select("sequence_id", "size", "length", "copies", (F.col("first") + i * F.col("copies")).alias("first"), "left", (F.col("rank_left") + i).alias("rank_left")), "gaps")
         taken.append(gaps.where("copies > 0").select("sequence_id", "size", "length", "copies", "first"))
