@@ -211,5 +211,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 1 <<
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
-    """The documents that hold benchmark text, with the items and spans; clean documents have no row."""
-    return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """The documents that hold benchmark text, with the items and spans (start-end, joined by commas); clean documents have no row."""
+    found = overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","))

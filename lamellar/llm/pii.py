@@ -123,7 +123,7 @@ def beside(chunks: Column, span: Column, window: int, reach: int, size: int = 20
     right = F.substring(F.concat(at(j), at(j + 1)), end - j * size + 1, F.lit(reach + 1))
     # one character more than the reach tells if a word goes on beyond it
     left = F.when(begin > reach, F.regexp_replace(left, r"^(?:\p{L}+|\P{L})", "")).otherwise(left)
-    right = F.when(F.length(right) > reach, F.regexp_replace(right, r"(?:(?<!\p{L})\p{L}++|\P{L})$", "")).otherwise(right)
+    right = F.when(F.length(right) > reach, F.regexp_replace(right, r"(?:(?<!\p{L})\p{L}++|\P{L})\z", "")).otherwise(right)
     before, after = words_of(left), words_of(right)
     return F.slice(before, F.greatest(F.size(before) - window + 1, F.lit(1)), F.lit(window)), F.slice(after, F.lit(1), F.lit(window))
 

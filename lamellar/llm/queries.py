@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamellar.llm import quality
+from lamellar.llm import oracles, quality
 from lamellar.llm.decontamination import op3_decontaminate
 from lamellar.llm.langid import op8_language_id
 from lamellar.llm.packing import op7_best_fit_pack
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {"op4_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality.oracle()} | oracles.ORACLES

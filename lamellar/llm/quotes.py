@@ -106,7 +106,7 @@ def parents(messages: DataFrame, block: int = 1000) -> DataFrame:
     blocks = both.groupBy("c", "h", "block").agg(F.max("s").alias("m")).select("c", "h", "block", F.max("m").over(earlier).alias("before"))
     found = both.withColumn("within", F.max("s").over(upto)).where("kind = 0").join(blocks, ["c", "h", "block"]).select("c", "h", "at", F.coalesce("within", "before").alias("s")).where("s is not null")
     hit = asked.join(broadcast_if_small(staged(found, "found"), 100_000), ["c", "h", "at"])
-    return hit.groupBy("row").agg(F.min_by("s.parent", F.struct(F.col("level"), F.col("part"), -F.col("s.said"))).alias("parent"))
+    return hit.groupBy("row").agg(F.min_by("s.parent", F.struct(F.col("level"), F.col("part"), -F.col("s.said"), F.col("s.parent"))).alias("parent"))
 
 
 def range_sorted(df: DataFrame, order: list[str], name: str) -> DataFrame:

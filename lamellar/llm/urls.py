@@ -124,4 +124,4 @@ def url_verdicts(pages: DataFrame, rules=RULES, order: int = 3, fold: int = 5) -
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     """Verdicts on all pages."""
-    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url").withColumn("score", F.round("score", 6))
