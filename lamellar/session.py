@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -18,3 +21,20 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=DEFAULTS | conf).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lamellar-"))
+        found = sc._jsc.sc().getCheckpointDir().get()
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/lamellar-{name}-{uuid.uuid4().hex}"

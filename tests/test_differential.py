@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from lamellar.plans import connector_queries as _  # registers its queries
 from lamellar.plans import queries
 
 
